@@ -4,7 +4,7 @@ Targets: the sources, by code point with null last, weigh as ``weights`` says, r
 corpus; a target stops at ``most`` times its source's size and the excess is shared again by weight. That fixed point is
 found at once, without rounds: with the sources ordered by most * size / weight, the full ones are a prefix.
 
-Sampling: within a source, documents stand in a fixed order (size class, then md5 of the id); each expects
+Sampling: within a source, documents stand in a fixed order (size class, 16 to a doubling, then md5 of the id); each expects
 target / source size copies; the prefix sums of these expectations, moved by one offset drawn from the seed and the source,
 cross as many integers at a document as it is emitted. No copy count is above ceil(most).
 
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     d = fields(docs, doc_id=id_col, text=text_col, source=source_col, **{f"keep_{i}": c for i, c in enumerate(keep)})
     d = d.select("doc_id", "source", own.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), *[f"keep_{i}" for i in range(len(keep))])
     digits = max(1, math.ceil(math.log(max(1, docs.count() / CELL_ROWS), 16)))
-    d = d.withColumns({"size_class": F.length(F.bin("size")), "part": F.substring("order_key", 1, digits), "is_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))})
+    d = d.withColumns({"size_class": F.expr("length(bin(size)) * 32L + shiftright(size, greatest(length(bin(size)) - 5, 0))"), "part": F.substring("order_key", 1, digits), "is_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))})
     cell = ["is_null", "source_key", "size_class", "part"]
     cells = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     source = W.partitionBy("is_null", "source_key")
@@ -104,7 +104,7 @@ t AS (
   FROM g),
 r AS (
   SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)), order_key, doc_id, size) AS rk
+         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)), order_key, doc_id, size) AS rk
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(floor(rk * rate + CAST(u AS DOUBLE)) - floor((rk - 1) * rate + CAST(u AS DOUBLE)) AS BIGINT) * size AS taken FROM r

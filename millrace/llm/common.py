@@ -39,7 +39,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(batch: pa.RecordBatch | pa.Table, name: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch | pa.Table, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch | pa.Table, name: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch | pa.Table, np.ndarray, np.ndarray]]:
     """Slices of a batch of at most ``most`` text bytes, each with its :func:`utf8`."""
     raw, off = utf8(batch.column(name))
     n, i = len(off) - 1, 0

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fields
+from millrace.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a cell, about, if the whole table were one source and size class.
@@ -54,10 +55,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     digits = max(1, math.ceil(math.log(max(1, docs.count() / CELL_ROWS), 16)))
     d = d.withColumns({"size_class": F.expr("length(bin(size)) * 32L + shiftright(size, greatest(length(bin(size)) - 5, 0))"), "part": F.substring("order_key", 1, digits), "is_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))})
     cell = ["is_null", "source_key", "size_class", "part"]
-    cells = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    cells = written(d.groupBy(*cell).agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
+    sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     source = W.partitionBy("is_null", "source_key")
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(source.orderBy("size_class", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = targets(sizes, weights, most).withColumns({"is_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}).drop("source")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("\0null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     r = d.join(cells.join(t, ["is_null", "source_key"]), cell)

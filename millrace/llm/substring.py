@@ -54,8 +54,8 @@ def window_hashes(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.nda
     return first, out[0], out[1], at, (starts, ends, at)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    d = fields(docs, doc_id=id_col, text=text_col)
+def _blocks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int, int]:
+    d = fields(docs, doc_id=id_col, text=text_col, **{f"keep_{i}": c for i, c in enumerate(keep)})
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = max(BLOCK_BYTES, int(BLOCK_SHARE * total))
     blocks, buckets = max(1, -(-total // block)), max(1, -(-total // (6 * BUCKET_HASHES)))
@@ -65,16 +65,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return d.repartition(min(blocks, most), "block"), blocks, buckets
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", joiner: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", joiner: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words long, n_removed long, kept_text string, removed array<struct<first,last>> of words.
 
     kept_text is the words left joined by ``joiner``; without one, the text with the removed words and the white space after
-    each cut out.
+    each cut out. ``keep`` columns of the input follow under their names.
     """
     spark = docs.sparkSession
     ship(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    d, _, buckets = _blocks(docs, id_col, text_col)
+    d, _, buckets = _blocks(docs, id_col, text_col, keep)
 
     def spread(table: pa.Table) -> pa.Table:
         found: list[np.ndarray] = []
@@ -111,11 +111,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return pa.table({"block": pa.array([k for k, _ in got], pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(got), pa.int32()), "hashes": pa.array([x for _, x in got], pa.binary())})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_words", "n_removed", "kept_text", "removed"]
+        more = [f"keep_{i}" for i in range(len(keep))]
+        names = ["doc_id", "n_words", "n_removed", "kept_text", "removed", *more]
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        empty = pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "removed": pa.array([], kind)}) if not left.num_rows else None
-        if empty is not None:
-            return empty
+        if not left.num_rows:
+            none = [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string(), kind)]
+            return pa.table([left.column("doc_id"), *none, *(left.column(c) for c in more)], names=names)
         sent = [np.frombuffer(x.as_py(), np.uint64) for x in right.column("hashes")]
         # a bucket's hashes are told from another's by the bucket number, mixed into the key
         known = [mixed(p ^ mixed(np.full(1, b, np.uint64))) for p, b in zip(sent, right.column("bucket").to_pylist())]
@@ -159,12 +160,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     texts.append(b"".join(pieces))
                 else:
                     texts.append(joiner.encode().join(compress(text.split(), ~mask)))
-            out.append(pa.table([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind)], names=names))
+            out.append(pa.table([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind), *(part.column(c) for c in more)], names=names))
         return pa.concat_tables(out)
 
     hashes = d.groupBy("block").applyInArrow(spread, "bucket int, block long, hashes binary")
     back = hashes.groupBy("bucket").applyInArrow(meet, "block long, bucket int, hashes binary")
-    return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, removed array<struct<first:long,last:long>>")
+    kept = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    r = d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, removed array<struct<first:long,last:long>>{kept}")
+    return r.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:

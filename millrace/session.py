@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted((x for x in root.rglob("*") if x.suffix in (".py", ".txt"))):
             z.write(p, os.path.join(root.name, p.relative_to(root)))
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)

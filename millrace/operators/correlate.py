@@ -63,8 +63,13 @@ def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str
     own = [*SCOPES[scope]]
     second = F.date_trunc("second", F.col("stamp"))
     fields = [f.name for f in df.schema]
-    group = d.withColumns({"__second": second, "__key": F.struct(*key)}).withColumn("__row", F.struct(F.col("stamp").alias("__o"), *[F.col(f"`{c}`") for c in fields]))
-    g = group.groupBy(F.session_window("__second", f"{timeout} seconds").alias("__w"), "__key", *own).agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    row = F.struct(F.col("stamp").alias("__o"), *[F.col(f"`{c}`") for c in fields])
+    # maps don't order, so rows are sorted by time, then process and text, beside them
+    by = F.struct(F.col("stamp"), F.length("pid").alias("n"), F.col("pid"), F.col("message"))
+    group = d.withColumns({"__second": second, "__key": F.struct(*key)}).withColumn("__row", F.struct(by.alias("by"), row.alias("row")))
+    g = group.groupBy(F.session_window("__second", f"{timeout} seconds").alias("__w"), "__key", *own).agg(F.collect_list("__row").alias("__rows"))
+    ordered = F.array_sort("__rows", lambda a, b: F.when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0))
+    g = g.withColumn("__rows", F.transform(ordered, lambda x: x["row"]))
     rows = F.col("__rows")
     if sort_key is not None:
         s = Scope(frozenset(fields))

@@ -31,7 +31,9 @@ class Block:
         """A variable or column."""
         if name in self.values:
             return self.values[name]
-        return typed.expr(F.col(f"`{name}`"), self.kinds.get(name, _KINDS.get(self.df.schema[name].dataType.typeName(), typed.STRING)))
+        kind = self.df.schema[name].dataType.typeName()
+        column = F.col(f"`{name}`")
+        return typed.expr(column.cast("timestamp") if kind == "timestamp_ntz" else column, self.kinds.get(name, _KINDS.get(kind, typed.STRING)))
 
     def _active(self) -> Column:
         return self.alive & self.running
@@ -114,7 +116,7 @@ class Block:
         return d.where("__alive").drop("__alive")
 
 
-_KINDS = {"long": typed.INT, "integer": typed.INT, "short": typed.INT, "double": typed.DOUBLE, "float": typed.DOUBLE, "boolean": typed.BOOL, "timestamp": typed.DATETIME, "array": typed.LIST, "map": typed.DICT, "binary": typed.BYTES, "string": typed.STRING}
+_KINDS = {"long": typed.INT, "integer": typed.INT, "short": typed.INT, "double": typed.DOUBLE, "float": typed.DOUBLE, "boolean": typed.BOOL, "timestamp": typed.DATETIME, "timestamp_ntz": typed.DATETIME, "array": typed.LIST, "map": typed.DICT, "binary": typed.BYTES, "string": typed.STRING}
 
 
 def set_fields(target: Column, overrides: dict[str, list[Column]] | None = None, defaults: dict[str, list[Column]] | None = None, replacements: dict[str, list[Column]] | None = None) -> Column:

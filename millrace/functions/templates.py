@@ -54,7 +54,8 @@ class Scope:
         if back is not None:
             if self.rows is None:
                 raise ValueError(f"{name}@{back} needs a group")
-            return F.try_element_at(self.rows, F.lit(-(back + 1)))[CORE.get(name, name)].cast("string")
+            row, own = F.try_element_at(self.rows, F.lit(-(back + 1))), CORE.get(name, name)
+            return row[own].cast("string") if own in self.columns else row["nv"][name] if "nv" in self.columns else F.lit(None).cast("string")
         if name in self.extra:
             return self.extra[name].cast("string")
         if self.rows is not None:

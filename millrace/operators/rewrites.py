@@ -148,6 +148,10 @@ _RFC3164 = ("FACILITY", "PRIORITY", "HOST", "PROGRAM", "PID", "MESSAGE", "DATE")
 SCOPES = {"rfc3164": _RFC3164, "core": _RFC3164, "base": _RFC3164, "rfc5424": (*_RFC3164, "MSGID"), "syslog-proto": (*_RFC3164, "MSGID"), "selected-macros": (*_RFC3164, "TAGS", "SOURCEIP", "SEQNUM"), "all-macros": (*_RFC3164, "MSGID", "TAGS", "ISODATE", "UNIXTIME", "PRI")}
 
 
+def _keyed(change):
+    return lambda k, _: change(k)
+
+
 def value_pairs(scope: Scope, scopes: list[str] | tuple = (), keys: list[str] | tuple = (), exclude: list[str] | tuple = (), pairs: list[tuple[str, Column]] | tuple = (), rekey: tuple = ()) -> Column:
     """A map of the chosen fields: by scopes and name globs, less the excluded, plus computed pairs, with names changed by ``rekey`` functions."""
     nv = F.col("nv") if "nv" in scope.columns else scope.pairs()
@@ -174,7 +178,7 @@ def value_pairs(scope: Scope, scopes: list[str] | tuple = (), keys: list[str] |
     if pairs:
         out = merged(out, F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]))
     for change in rekey:
-        out = F.transform_keys(out, lambda k, _, change=change: change(k))
+        out = F.transform_keys(out, _keyed(change))
     return out
 
 

@@ -16,58 +16,93 @@ from millrace.functions.typed import Expr, wrap
 
 
 class Block:
-    """Builds statement by statement; :meth:`apply` gives the table after the block."""
+    """Builds statement by statement; :meth:`apply` gives the table after the block.
+
+    What a statement gives is put in columns of its own, so later ones refer to it and plans grow in step with the text.
+    """
 
     def __init__(self, df: DataFrame, kinds: dict[str, str] | None = None) -> None:
-        self.df = df
+        self.source = df
+        self.stages: list[dict[str, Column]] = []
+        self.early: list[Column] = []  # tests before any assignment: they go to the scan
         self.kinds = dict(kinds or {})
         self.values: dict[str, Expr] = {}
-        self.alive = F.lit(True)  # rows that haven't failed
-        self.running = F.lit(True)  # and haven't ended by ``done``
-        self.errors: list[Column] = []
+        self.alive: Column = F.lit(True)  # rows that haven't failed
+        self.running: Column = F.lit(True)  # and haven't ended by ``done``
+        self.errors: list[tuple[Column, str]] = []
         self.declared: set[str] = set()
+        self.temporary: list[str] = []
 
     def __getitem__(self, name: str) -> Expr:
         """A variable or column."""
         if name in self.values:
             return self.values[name]
-        kind = self.df.schema[name].dataType.typeName()
+        kind = self.source.schema[name].dataType.typeName()
         column = F.col(f"`{name}`")
         return typed.expr(column.cast("timestamp") if kind == "timestamp_ntz" else column, self.kinds.get(name, _KINDS.get(kind, typed.STRING)))
 
-    def _active(self) -> Column:
+    def keep(self, *columns: Column) -> list[Column]:
+        names = [f"__b{len(self.temporary) + i}" for i in range(len(columns))]
+        self.temporary += names
+        self.stages.append(dict(zip(names, columns)))
+        return [F.col(n) for n in names]
+
+    def staged(self, keep_failed: bool = False) -> DataFrame:
+        """The table with all temporary columns, less the rows that failed.
+
+        The filter stays above the projections (a gate that isn't deterministic holds it there): pushed through them it would
+        be spelled out in full, which grows with every statement. Early tests are pushed on their own.
+        """
+        d = self.source
+        if not keep_failed:
+            for c in self.early:
+                d = d.where(F.coalesce(c, F.lit(False)))
+        for s in self.stages:
+            d = d.withColumns(s)
+        if not keep_failed:
+            d = d.withColumn("__gate", F.monotonically_increasing_id()).where(self.alive & (F.col("__gate") >= 0)).drop("__gate")
+        return d
+
+    def active(self) -> Column:
         return self.alive & self.running
 
-    def _fail(self, ok: Column, what: str) -> None:
-        bad = self._active() & ~F.coalesce(ok, F.lit(False))
-        self.errors.append(F.when(bad, F.lit(what)))
-        self.alive = self.alive & ~bad
+    def fail(self, ok: Column, what: str) -> None:
+        """Rows that are running and for which ``ok`` doesn't hold fail."""
+        (bad,) = self.keep(self.running & ~F.coalesce(ok, F.lit(False)))
+        self.errors.append((self.alive & bad, what))
+        (self.alive,) = self.keep(self.alive & ~bad)
+
+    def put(self, name: str, value: Column, kind: str, ok: Column) -> None:
+        v, o = self.keep(value, F.coalesce(ok, F.lit(False)))
+        self.values[name] = Expr(v, kind, o)
 
     def require(self, test, what: str = "statement") -> Block:
         """An expression statement."""
         e = wrap(test)
-        self._fail(e.ok & typed.truthy(e), what)
+        if not self.values and len(self.stages) == 2 * len(self.early):
+            self.early.append(e.ok & typed.truthy(e))
+        self.fail(e.ok & typed.truthy(e), what)
         return self
 
-    def set(self, name: str, value, when: Expr | None = None) -> Block:
-        """``name = value``; under a condition, where that holds."""
+    def set(self, name: str, value) -> Block:
+        """``name = value``, for the rows that run."""
         e = wrap(value)
-        active = self._active() if when is None else self._active() & typed.truthy(when)
-        self._fail(e.ok if when is None else e.ok | ~typed.truthy(when), f"set {name}")
-        old = self[name] if name in self.values or name in self.df.columns else None
+        old = self[name] if name in self.values or name in self.source.columns else None
+        v, ok = self.keep(e.value, F.coalesce(e.ok, F.lit(False)))
+        self.fail(ok, f"set {name}")
+        a = self.active()
         if old is None:
-            self.values[name] = Expr(F.when(active, e.value), e.kind, active & e.ok)
+            self.put(name, F.when(a, v), e.kind, a & ok)
         else:
-            self.values[name] = Expr(F.when(active, e.value).otherwise(old.value), e.kind, F.when(active, e.ok).otherwise(old.ok))
+            self.put(name, F.when(a, v).otherwise(old.value), e.kind, F.when(a, ok).otherwise(old.ok))
         return self
 
     def set_if_valid(self, name: str, value) -> Block:
         """``name =?? value``: only where the value is neither null nor an error."""
         e = wrap(value)
-        good = F.coalesce(e.ok & e.value.isNotNull(), F.lit(False))
-        old = self[name] if name in self.values or name in self.df.columns else Expr(F.lit(None), e.kind, F.lit(False))
-        use = self._active() & good
-        self.values[name] = Expr(F.when(use, e.value).otherwise(old.value), e.kind, F.when(use, F.lit(True)).otherwise(old.ok))
+        v, use = self.keep(e.value, F.coalesce(self.active() & e.ok & e.value.isNotNull(), F.lit(False)))
+        old = self[name] if name in self.values or name in self.source.columns else Expr(F.lit(None), e.kind, F.lit(False))
+        self.put(name, F.when(use, v).otherwise(old.value), e.kind, F.when(use, F.lit(True)).otherwise(old.ok))
         return self
 
     def add(self, name: str, value) -> Block:
@@ -80,40 +115,46 @@ class Block:
 
     def unset(self, name: str) -> Block:
         e = self[name]
-        self.values[name] = Expr(F.when(self._active(), F.lit(None)).otherwise(e.value), e.kind, ~self._active() & e.ok)
+        a = self.active()
+        self.put(name, F.when(~a, e.value), e.kind, ~a & e.ok)
         return self
 
     def when(self, test, then: Callable[[Block], object], otherwise: Callable[[Block], object] | None = None) -> Block:
         """if / else blocks; a failure within the taken one fails the block."""
         e = wrap(test)
-        self._fail(e.ok, "condition")
-        t = typed.truthy(e)
+        ok, t = self.keep(F.coalesce(e.ok, F.lit(False)), typed.truthy(e))
+        self.fail(ok, "condition")
         outer = self.running
-        self.running = outer & t
-        then(self)
-        ended = outer & t & ~self.running
-        if otherwise is not None:
-            self.running = outer & ~t
-            otherwise(self)
-            ended = ended | (outer & ~t & ~self.running)
-        self.running = outer & ~ended
+        left, owns = [], []
+        for taken, body in ((t, then), (~t, otherwise)):
+            (own,) = self.keep(outer & taken)
+            self.running = own
+            if body is not None:
+                body(self)
+            left.append(self.running)
+            owns.append(own)
+        # without a ``done`` in either, all that ran runs on
+        (self.running,) = [outer] if all(a is b for a, b in zip(left, owns)) else self.keep(left[0] | left[1])
         return self
 
     def done(self, test=True) -> Block:
-        self.running = self.running & ~typed.truthy(wrap(test))
+        (self.running,) = self.keep(self.running & ~typed.truthy(wrap(test)))
         return self
 
     def drop(self, test=True) -> Block:
-        self._fail(~typed.truthy(wrap(test)), "drop")
+        self.fail(~typed.truthy(wrap(test)), "drop")
         return self
 
     def apply(self, errors_into: str | None = None) -> DataFrame:
         """The rows that passed, with what was assigned; with ``errors_into``, all rows and their failures."""
-        made = {n: F.when(F.coalesce(e.ok, F.lit(False)), e.value) for n, e in self.values.items()}
+        made = {n: F.when(e.ok, e.value) for n, e in self.values.items()}
         if errors_into:
-            return self.df.withColumns(made | {errors_into: F.filter(F.array(*self.errors), lambda x: x.isNotNull())})
-        d = self.df.withColumns(made | {"__alive": F.coalesce(self.alive, F.lit(False))})
-        return d.where("__alive").drop("__alive")
+            made[errors_into] = self.failures()
+        d = self.staged(errors_into is not None)
+        return (d.withColumns(made) if made else d).drop(*self.temporary)
+
+    def failures(self) -> Column:
+        return F.filter(F.array(*[F.when(bad, F.lit(what)) for bad, what in self.errors]), lambda x: x.isNotNull())
 
 
 _KINDS = {"long": typed.INT, "integer": typed.INT, "short": typed.INT, "double": typed.DOUBLE, "float": typed.DOUBLE, "boolean": typed.BOOL, "timestamp": typed.DATETIME, "timestamp_ntz": typed.DATETIME, "array": typed.LIST, "map": typed.DICT, "binary": typed.BYTES, "string": typed.STRING}

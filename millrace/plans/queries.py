@@ -411,3 +411,24 @@ def pattern_rules(spark, sf_dir):
 
 SQL["pattern_rules"] = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'any' END AS rule_id, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS status FROM orders"
 SQL["xml_fields"] = r"SELECT page_id, NULLIF(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') AS title FROM pages"
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type = 'purchase' AND k > 50 THEN 'big' WHEN event_type = 'purchase' THEN 'small' ELSE 'none' END AS class, k + 1 AS next, upper(substr(event_type, 1, 3)) AS head
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 2 = 0 AND event_type <> 'error'
+""")
+def expression_program(spark, sf_dir):
+    """A block in its text form over events."""
+    from millrace.plans.program import Program
+
+    text = """
+    $PROGRAM != "error";
+    js = json($MSG);
+    k = int(js.k);
+    k % 2 == 0;
+    if ($PROGRAM == "purchase") { if (k > 50) { $class = "big"; } else { $class = "small"; }; } else { $class = "none"; };
+    declare next = k + 1;
+    $head = upper($PROGRAM[0..3]);
+    """
+    d = Program(text).apply(events(spark, sf_dir, "event_id"))
+    return d.select("event_id", F.col("nv")["class"].alias("class"), "next", F.col("nv")["head"].alias("head"))

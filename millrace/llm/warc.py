@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
 :func:`write` makes one gzip member per record; payloads of ``LEAST`` bytes and more that are equal are written once, as the
-response of the largest page id, and the others as revisits that name it. Every partition writes one archive under a
-temporary name and moves it into place, so a task that runs again or twice leaves the same file.
+response of the largest page id, and the others as revisits that name it. Every task attempt writes an archive of its own,
+which its rows name: a task that runs again or twice leaves a file that no capture points to, never a changed one.
 
 The index: capture keys (reversed host, path, query) sorted by range into files of compressed blocks of ``BLOCK`` lines, and a
 sparse directory with the first key, place and length of each block. :func:`lookup` searches the directory by bisection,
@@ -100,11 +100,11 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        temporary = f"{base}/.{uuid.uuid4().hex}"
+        t = TaskContext.get()
+        name = f"part-{t.partitionId():06d}-{t.taskAttemptId()}.warc.gz"
         fs.create_dir(base)
         at = 0
-        out = fs.open_output_stream(temporary, compression=None)
+        out = fs.open_output_stream(f"{base}/{name}", compression=None)
         try:
             for b in batches:
                 c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
@@ -119,10 +119,8 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), c["page_id"], pa.array([name] * b.num_rows, pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["url_key", "page_id", "file", "start", "length"])
         finally:
             out.close()
-        if at:
-            fs.move(temporary, f"{base}/{name}")
-        else:
-            fs.delete_file(temporary)
+        if not at:
+            fs.delete_file(f"{base}/{name}")
 
     return planned.mapInArrow(run, f"url_key string, page_id {id_type}, file string, start long, length long")
 
@@ -133,13 +131,13 @@ def build_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
-        name = f"index-{TaskContext.get().partitionId():06d}"
-        temporary = f"{base}/.{uuid.uuid4().hex}"
+        t = TaskContext.get()
+        name = f"index-{t.partitionId():06d}-{t.taskAttemptId()}"
         fs.create_dir(base)
         entries: list[tuple] = []
         waiting: list[str] = []
         at = 0
-        out = fs.open_output_stream(temporary, compression=None)
+        out = fs.open_output_stream(f"{base}/{name}", compression=None)
 
         def flush() -> None:
             nonlocal at
@@ -159,10 +157,8 @@ def build_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
                 flush()
         finally:
             out.close()
-        if at:
-            fs.move(temporary, f"{base}/{name}")
-        else:
-            fs.delete_file(temporary)
+        if not at:
+            fs.delete_file(f"{base}/{name}")
         columns = list(zip(*entries)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["first_key", "file", "start", "length", "lines"])
 

@@ -432,3 +432,67 @@ def expression_program(spark, sf_dir):
     """
     d = Program(text).apply(events(spark, sf_dir, "event_id"))
     return d.select("event_id", F.col("nv")["class"].alias("class"), "next", F.col("nv")["head"].alias("head"))
+
+
+@query("""
+SELECT c_custkey, 'CEF:0|acme|shop|1.0|' || c_nationkey || '|' || replace(c_mktsegment, 'I', '|') || '|5|cust=' || c_custkey || ' note=a b' AS line,
+       'acme' AS vendor, replace(c_mktsegment, 'I', '|') AS name, CAST(c_custkey AS VARCHAR) AS cust, 'a b' AS note FROM customer WHERE c_mktsegment NOT LIKE '%I%'
+UNION ALL
+SELECT c_custkey, 'CEF:0|acme|shop|1.0|' || c_nationkey || '|' || replace(c_mktsegment, 'I', chr(92) || '|') || '|5|cust=' || c_custkey || ' note=a b', 'acme', replace(c_mktsegment, 'I', '|'), CAST(c_custkey AS VARCHAR), 'a b' FROM customer WHERE c_mktsegment LIKE '%I%'
+""")
+def cef_round_trip(spark, sf_dir):
+    """Formatted with escapes, then parsed."""
+    name = F.replace(F.col("c_mktsegment"), F.lit("I"), F.lit("|"))
+    ext = F.create_map(F.lit("cust"), F.col("c_custkey").cast("string"), F.lit("note"), F.lit("a b"))
+    line = T.format_cef([F.lit(x) for x in ("0", "acme", "shop", "1.0")] + [F.col("c_nationkey").cast("string"), name, F.lit("5")], ext)
+    c = table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
+    m = c.withColumn("m", T.parse_cef(F.col("line")))
+    return m.select("c_custkey", "line", F.col("m")["device_vendor"].alias("vendor"), F.col("m")["name"].alias("name"), F.col("m")["cust"].alias("cust"), F.col("m")["note"].alias("note"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part)
+SELECT p_partkey, a[1] AS head, array_to_string(a[2:], ',') AS tail, len(a) AS n, a[len(a)] AS last, CASE WHEN list_position(a, 'STEEL') > 0 THEN list_position(a, 'STEEL') - 1 END AS steel, array_to_string(list_transform(a, lambda x: x || '!'), ',') AS mapped FROM p
+""")
+def list_functions(spark, sf_dir):
+    a = F.col("a")
+    p = table(spark, sf_dir, "part").select("p_partkey", S.explode(" ", F.col("p_type")).alias("a"))
+    scope = Scope(frozenset(), {"L": S.list_text(a)})
+    return p.select("p_partkey", S.list_head(a).alias("head"), S.implode(",", S.list_tail(a)).alias("tail"), F.size(a).cast("bigint").alias("n"), S.list_nth(a, -1).alias("last"), S.list_search(a, "STEEL").cast("int").alias("steel"), render("$(map $_! $L)", scope).alias("mapped"))
+
+
+@query("""
+SELECT event_id, '{"program":"' || event_type || '","user":"' || user_id || '"}' AS json, 'program=' || event_type || ' user=' || user_id AS welf FROM events
+""")
+def value_pairs_formats(spark, sf_dir):
+    e = events(spark, sf_dir, "event_id")
+    s = Scope.of(e)
+    return e.select("event_id", render("$(format-json --key user program=$PROGRAM)", s).alias("json"), render("$(format-welf --key user program=$PROGRAM)", s).alias("welf"))
+
+
+@query("""
+SELECT event_id, '<' || (event_id % 192) || '>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00 u' || user_id || ' ' || event_type || ' ' || event_id || ' - - ' || props AS line FROM events
+""")
+def format_syslog(spark, sf_dir):
+    e = events(spark, sf_dir, "event_id")
+    return e.select("event_id", T.format_syslog_5424(F.col("pri"), F.col("stamp"), F.col("host"), F.col("program"), F.col("pid"), F.col("msgid"), F.col("sdata"), F.col("message")).alias("line"))
+
+
+@query("""
+SELECT o_orderkey, o_orderdate - INTERVAL 2 HOUR AS fixed_plus2, CAST(strftime(o_orderdate + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30' AS VARCHAR) AS india FROM orders
+""")
+def time_zones(spark, sf_dir):
+    t = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.fix_timezone(t, "+02:00").alias("fixed_plus2"), D.macro("ISODATE", t, F.lit(19800)).alias("india"))
+
+
+@query("""
+SELECT n_name, count(*) AS n, CAST(sum(CAST(floor(c_acctbal) AS BIGINT)) AS BIGINT) AS total, CAST(min(c_custkey) AS BIGINT) AS first_key
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND floor(c_acctbal) > 0 GROUP BY n_name HAVING count(*) > 1
+""")
+def enriched_counters(spark, sf_dir):
+    """Filter, lookup, labelled aggregation: the side is small and checked."""
+    c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.floor("c_acctbal") > 0))
+    n = enrich.small(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
+    g = c.join(n, "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("c_acctbal")).alias("total"), F.min("c_custkey").alias("first_key"))
+    return g.where("n > 1")

@@ -11,11 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, unless the session says otherwise: rows here hold whole texts, and a batch stands in memory several times.
+BATCH_ROWS = 2000
+_DEFAULT_ROWS = "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, once per application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent

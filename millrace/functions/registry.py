@@ -116,7 +116,8 @@ def list_(x=None):
 @function("format_json")
 def format_json(x):
     x = wrap(x)
-    return made(F.to_json(x.value) if x.kind in (DICT, LIST) else F.when(F.lit(x.kind == STRING), F.to_json(F.array(x.value)).substr(F.lit(2), F.length(F.to_json(F.array(x.value))) - 2)).otherwise(x.value.cast("string")), STRING, x)
+    text = T.json_object(x.value) if x.kind == DICT else F.to_json(x.value) if x.kind == LIST else T.json_string(x.value) if x.kind == STRING else x.value.cast("string")
+    return made(text, STRING, x)
 
 
 @function("str_replace")
@@ -237,7 +238,7 @@ FUNCTIONS["format_leef"] = lambda m: made(T.format_leef([F.coalesce(wrap(m).valu
 @function("flatten")
 def flatten(x, separator="."):
     x = wrap(x)
-    return made(T.json_fields(F.to_json(x.value) if x.kind == DICT else x.value, "", literal(separator)), DICT, x)
+    return made(T.json_fields(T.json_object(x.value) if x.kind == DICT else x.value, "", literal(separator)), DICT, x)
 
 
 @function("unset_empties")
@@ -303,3 +304,60 @@ def format_syslog_5424(message, add_octet_count=False, pri=None):
 @function("null")
 def null():
     return Expr(F.lit(None), NULL, F.lit(True))
+
+
+@function("dict_to_pairs")
+def dict_to_pairs(x, key, value):
+    """A list of {key, value} objects as JSON text."""
+    x = wrap(x)
+    return made(F.transform(F.map_entries(x.value), lambda e: F.to_json(F.create_map(F.lit(literal(key)), e["key"], F.lit(literal(value)), e["value"]))), LIST, x)
+
+
+@function("set_fields")
+def set_fields(x, overrides=None, defaults=None, replacements=None):
+    """Fields set always, where unset, or where set; null values are passed over."""
+    x = wrap(x)
+    valid = lambda m: F.map_filter(wrap(m).value, lambda _, v: v.isNotNull())
+    out = x.value
+    if overrides is not None:
+        out = typed.merged(out, valid(overrides))
+    if defaults is not None:
+        out = typed.merged(valid(defaults), out)
+    if replacements is not None:
+        have = F.map_keys(out)
+        out = typed.merged(out, F.map_filter(valid(replacements), lambda k, _: F.array_contains(have, k)))
+    return made(out, DICT, x)
+
+
+@function("cache_json_file")
+def cache_json_file(path, default_value=None):
+    """A JSON object in a file, read when the plan is built; as a literal map it travels with the plan."""
+    from millrace.operators.enrich import cached_json
+
+    e = made(cached_json(None, literal(path)), DICT)
+    object.__setattr__(e, "default", literal(default_value))
+    return e
+
+
+@function("failure_info_enable", "failure_info_clear", "failure_info_meta")
+def failure_info_control(*_, **__):
+    """Failures are always kept; ``Program.apply(errors_into=...)`` gives them."""
+    return made(F.lit(True), BOOL)
+
+
+@function("otel_logrecord", "otel_resource", "otel_scope", "otel_kvlist")
+def otel_object(x=None):
+    """A mapping with the members of the record; encoding to its wire format is a sink's."""
+    return dict_(x)
+
+
+@function("otel_array")
+def otel_array(x=None):
+    return list_(x)
+
+
+@function("pubsub_message")
+def pubsub_message(data, attributes=None):
+    d = wrap(data)
+    a = F.to_json(wrap(attributes).value) if attributes is not None else F.lit("{}")
+    return made(F.create_map(F.lit("data"), S.base64_encode(d.value), F.lit("attributes"), a), DICT, d)

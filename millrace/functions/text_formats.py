@@ -172,6 +172,18 @@ def json_flat(s: Column) -> Column:
     return F.from_json(s, MAP)
 
 
+def json_string(s: Column) -> Column:
+    """Text as a JSON string, quoted."""
+    a = F.to_json(F.array(s))
+    return F.substring(a, F.lit(2), F.length(a) - 2)
+
+
+def json_object(m: Column) -> Column:
+    """A map as an object; values that are objects or arrays in JSON stand as such."""
+    inner = lambda v: F.when(v.rlike(r"^\s*[\[{]") & F.get_json_object(v, "$").isNotNull(), v).when(v.isNull(), F.lit("null")).otherwise(json_string(v))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(json_string(e["key"]), F.lit(":"), inner(e["value"]))), ","), F.lit("}"))
+
+
 def nested_json(m: Column, separator: str = ".") -> Column:
     """A map of dotted names as a nested JSON object, keys in order."""
     @F.pandas_udf("string")

@@ -319,7 +319,7 @@ def byte_slice(s, start=None, end=None) -> Expr:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Two maps, the second's values winning; keys keep the first's places."""
+    """Two maps; a key of both has the second's value and place."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 

@@ -176,3 +176,38 @@ def fetcher(spark: SparkSession, cls: type, **settings) -> DataFrame:
     spark.dataSource.register(FetcherSource)
     d = spark.read.format("millrace-fetcher").options(fetcher=base64.b64encode(cloudpickle.dumps(cls)).decode(), settings=json.dumps(settings)).load()
     return to_events(d, message=F.col("value"), source=F.lit("python"), stamp=F.current_timestamp())
+
+
+class InternalLog:
+    """The library's own log as a source: progress of streaming queries, kept by a listener for :meth:`events`."""
+
+    def __init__(self, spark: SparkSession, most: int = 10_000) -> None:
+        from collections import deque
+
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        self.spark, self.lines = spark, deque(maxlen=most)
+        kept = self.lines
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):  # noqa: N802
+                kept.append(f"query started; id='{event.id}'")
+
+            def onQueryProgress(self, event):  # noqa: N802
+                kept.append(f"query progress; id='{event.progress.id}', rows='{event.progress.numInputRows}'")
+
+            def onQueryIdle(self, event):  # noqa: N802
+                pass
+
+            def onQueryTerminated(self, event):  # noqa: N802
+                kept.append(f"query ended; id='{event.id}', error='{event.exception or ''}'")
+
+        self.listener = Listener()
+        spark.streams.addListener(self.listener)
+
+    def events(self) -> DataFrame:
+        d = self.spark.createDataFrame([(x,) for x in self.lines], "value string")
+        return to_events(d, message=F.col("value"), source=F.lit("internal"), program=F.lit("millrace"), stamp=F.current_timestamp())
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self.listener)

@@ -58,3 +58,17 @@ def test_syntax():
     with pytest.raises(SyntaxError):
         Program('switch (1) { case "a": drop; case "a": done; }')
     assert tokens("a.b ?? ${x y}") == [("name", "a"), ("op", "."), ("name", "b"), ("op", "??"), ("field", "${x y}")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('$r = format_json(set_fields({"a": "1"}, overrides={"b": "2"}, defaults={"a": "9", "c": "3"}, replacements={"a": "7", "z": "0"}));', '{"c":"3","b":"2","a":"7"}'),
+        ('$r = format_kv(parse_csv("x,y", columns=["p", "q"]));', "p=x, q=y"), ('$r = format_csv(["a", "b,c"]);', 'a,"b,c"'), ('$r = string(len("héé"));', "5"), ('$r = dict_to_pairs({"a": "b"}, "k", "v")[0];', '{"k":"a","v":"b"}'),
+        ('$r = strftime("%Y-%m-%d", strptime("05/06/2020", "%d/%m/%Y"));', "2020-06-05"), ('$r = str_replace("aaa", "a", "b", 2);', "bba"), ('$r = regexp_subst("a1b2", "[0-9]", "#", global=true);', "a#b#"), ('$r = hex_encode(digest("x", alg="md5"));', "9dd4e461268c8034f5c8564e155c67a6"),
+        ("$r = string(7 / 2) + string(-7 % 3);", "3-1"), ('$r = flatten({"a": {"b": "c"}})["a.b"];', "c"), ('$r = unset_empties({"a": "", "b": "x"}).b;', "x"), ('x = ["a"]; x[] = "b"; $r = format_json(x);', '["a","b"]'), ('$r = "lit" ?: "no";', "lit"),
+    ],
+)
+def test_functions_in_programs(spark, text, want):
+    ev = to_events(spark.range(1), stamp=F.timestamp_seconds(L(0)))
+    assert Program(text).apply(ev).first().nv["r"] == want

@@ -21,11 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import fields
+from millrace.llm.common import fields, released
 from millrace.session import ship
 
-#: Pre-tokens whose ids a worker remembers; when full, it starts anew.
-CACHE = 600_000
+#: Pre-tokens of one generation of what a worker remembers; when full, it becomes the old one, and words met again move on.
+CACHE = 100_000
 GROUP = 8  # ranks of one low bitmap word, as a power of two
 
 
@@ -73,17 +73,20 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(self.ranks.values(), default=0) >= 1 << 16:
+            raise ValueError("ranks of 2**16 and more aren't packed here")
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.single = [self.ranks.get(bytes([i]), -1) for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # left << 16 | right: ids are below 2**16
         ranks = self.ranks
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
+                    self.pairs[left << 16 | right] = rank
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -94,7 +97,7 @@ class Codec:
         ids = [self.single[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting: list[int | None] = [pairs((ids[i], ids[i + 1])) for i in range(n - 1)]
+        waiting: list[int | None] = [pairs(a << 16 | b) for a, b in zip(ids, ids[1:])]
         waiting.append(None)
         queue = RankQueue()
         for i, rank in enumerate(waiting):
@@ -110,27 +113,27 @@ class Codec:
             waiting[i] = None
             if k < n:
                 before[k] = i
-                new = waiting[i] = pairs((rank, ids[k]))
+                new = waiting[i] = pairs(rank << 16 | ids[k])
                 if new is not None:
                     queue.push(new, i)
             if (p := before[i]) >= 0:
-                new = waiting[p] = pairs((ids[p], rank))
+                new = waiting[p] = pairs(ids[p] << 16 | rank)
                 if new is not None:
                     queue.push(new, p)
         return [x for x in ids if x >= 0]
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        pieces, cache = self.split.findall(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
+        pieces = self.split.findall(text)
+        if len(self.cache) > CACHE:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old.get
         for piece in set(pieces).difference(cache):
-            ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-            cache[piece] = pack(f"<{len(ids)}I", *ids)
+            known = old(piece)
+            if known is None:
+                ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+                known = pack(f"<{len(ids)}I", *ids)
+            cache[piece] = known
         return b"".join(map(cache.__getitem__, pieces))
 
     def decode(self, packed: bytes) -> bytes:
@@ -157,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     d = fields(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return d.mapInArrow(released(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -173,4 +176,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded"]
-    return encoded.select(*[f"`{f.name}`" for f in encoded.schema if f.name != "decoded"]).mapInArrow(run, ", ".join([*kept, "decoded binary"]))
+    return encoded.select(*[f"`{f.name}`" for f in encoded.schema if f.name != "decoded"]).mapInArrow(released(run), ", ".join([*kept, "decoded binary"]))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fields
+from millrace.llm.common import chunks, fields, released
 from millrace.session import ship
 
 HIDDEN = 8
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n.labels[k] if o else UND for k, o in zip(best, ok)], pa.string()), pa.array(np.where(ok, score, 0.0))], ["doc_id", "lang_pred", "score"])
 
     d = fields(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return d.mapInArrow(released(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -268,7 +268,7 @@ def keep_identified(docs: DataFrame, net: Network, text_col: str = "text") -> Da
             for part, raw, off in chunks(batch, at, 1 << 20):
                 yield part.filter(pa.array(named_rows(raw, off) & (n.pooled(raw, off).max(1, initial=0) > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fields
+from millrace.llm.common import fields, released
 from millrace.session import ship
 
 ROW = 576
@@ -154,7 +154,7 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                 part = b.slice(i, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x.as_py()) for x in part.column(1)], kind)], ["id", "segments"])
 
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, segments {SEGMENT}")
+    return d.mapInArrow(released(run), f"id {d.schema['id'].dataType.simpleString()}, segments {SEGMENT}")
 
 
 def references(interleaved: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def store(texts: DataFrame, text_col: str = "text") -> DataFrame:
                     data.setdefault(hashlib.sha256(raw).hexdigest(), raw)
                 yield pa.RecordBatch.from_arrays([pa.array(list(data), pa.string()), pa.array([to_png(padded(x)) for x in data.values()], pa.binary()), pa.array([len(x) for x in data.values()], pa.int64())], ["digest", "media", "n_bytes"])
 
-    encoded = fields(texts, text=text_col).mapInArrow(run, "digest string, media binary, n_bytes long")
+    encoded = fields(texts, text=text_col).mapInArrow(released(run), "digest string, media binary, n_bytes long")
     return encoded.groupBy("digest").agg(F.first("media").alias("media"), F.first("n_bytes").alias("n_bytes"))
 
 
@@ -196,7 +196,7 @@ def described(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, k) for x, k in zip(out, kinds))], names)
 
     names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return stored.select("digest", "media", "n_bytes").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("digest", "media", "n_bytes").mapInArrow(released(run), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def resolve(refs: DataFrame, described_: DataFrame) -> DataFrame:

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fields, lowered, mixed, word_hashes, words
+from millrace.llm.common import chunks, fields, lowered, mixed, release, released, word_hashes, words
 from millrace.session import shared_dir, ship
 
 K = 96
 MISS = 1e-5
 #: Keys that a bucket holds, about.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 500_000
+#: Keys that a task packs at once.
+FLUSH_KEYS = 500_000
 #: Ids that are broadcast to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of a run that are compared in one piece.
@@ -124,7 +126,7 @@ def profiles(docs: DataFrame, size: int, k: int = K) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def runs_of(reps: DataFrame, n: int, m: int, k: int = K) -> DataFrame:
@@ -146,11 +148,11 @@ def runs_of(reps: DataFrame, n: int, m: int, k: int = K) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([key[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([rep[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["bucket", "keys", "reps"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 sig = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint16).reshape(-1, k)
                 waiting.append((keys(sig, m).ravel(), np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), k)))
-                if sum(len(x) for x, _ in waiting) > 2_000_000:
+                if sum(len(x) for x, _ in waiting) > FLUSH_KEYS:
                     yield packed()
         if waiting:
             yield packed()
@@ -164,10 +166,11 @@ def runs_of(reps: DataFrame, n: int, m: int, k: int = K) -> DataFrame:
         at = np.flatnonzero(first)
         sizes = np.diff(np.append(at, len(key)))
         many = np.repeat(sizes > 1, sizes)
+        release()
         hub = np.repeat(rep[at], sizes)
         return pa.table({"key": pa.array(key[many].view(np.int64)), "rep": pa.array(rep[many]), "hub": pa.array(hub[many])})
 
-    packed = reps.select("rep", "signature").mapInArrow(spread, "bucket int, keys binary, reps binary")
+    packed = reps.select("rep", "signature").mapInArrow(released(spread), "bucket int, keys binary, reps binary")
     return packed.groupBy("bucket").applyInArrow(meet, "key long, rep long, hub long")
 
 
@@ -183,7 +186,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS  # a checked bound of 8 MB; beyond it the same join shuffles
     picked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi")
     # ids may repeat; one row of an id carries the class
-    return picked.mapInArrow(run, "rep long, shingles array<long>")
+    return picked.mapInArrow(released(run), "rep long, shingles array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +224,7 @@ def components(links: DataFrame, a: str = "rep", b: str = "hub") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles long, component_id long, kept boolean (doc_id = component_id), n_links long (of its class, as compared)."""
+    """Per row: doc_id, n_shingles long, component_id long, kept boolean (doc_id = component_id)."""
     spark = docs.sparkSession
     ship(spark)
     d = fields(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

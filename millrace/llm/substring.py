@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fields, mixed, powers, word_hashes, words
+from millrace.llm.common import chunks, fields, mixed, powers, release, word_hashes, words
 from millrace.session import ship
 
 BLOCK_BYTES = 8 << 20
 #: A block also grows to this share of the corpus, so that what it sends to a bucket stays a few hashes at least.
 BLOCK_SHARE = 2e-6
 #: Hashes that a bucket holds, about.
-BUCKET_HASHES = 2_000_000
+BUCKET_HASHES = 1_000_000
 
 _C1, _C2 = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
 
@@ -107,6 +107,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         else:
             hit = np.zeros(len(h), bool)
         bounds = np.append(0, np.cumsum(sizes))
+        release()
         got = [(int(k), h[a:b][hit[a:b]].tobytes()) for k, a, b in zip(blocks, bounds, bounds[1:]) if hit[a:b].any()]
         return pa.table({"block": pa.array([k for k, _ in got], pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(got), pa.int32()), "hashes": pa.array([x for _, x in got], pa.binary())})
 
@@ -161,6 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 else:
                     texts.append(joiner.encode().join(compress(text.split(), ~mask)))
             out.append(pa.table([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind), *(part.column(c) for c in more)], names=names))
+        release()
         return pa.concat_tables(out)
 
     hashes = d.groupBy("block").applyInArrow(spread, "bucket int, block long, hashes binary")

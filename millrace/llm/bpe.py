@@ -25,7 +25,7 @@ from millrace.llm.common import fields, released
 from millrace.session import ship
 
 #: Pre-tokens of one generation of what a worker remembers; when full, it becomes the old one, and words met again move on.
-CACHE = 100_000
+CACHE = 400_000
 GROUP = 8  # ranks of one low bitmap word, as a power of two
 
 
@@ -147,9 +147,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit)."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit); with ``decoded``, also decoded binary, which the ids stand for, made in the same worker."""
     ship(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -157,10 +158,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 ids = [c.packed(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([c.decode(x) for x in ids], pa.binary())] if decoded else []), names)
 
     d = fields(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(released(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return d.mapInArrow(released(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary{', decoded binary' * decoded}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import decode, encode
+from millrace.llm.bpe import encode
 
 
 def vocabulary() -> tuple[str, str]:
@@ -17,5 +17,5 @@ def vocabulary() -> tuple[str, str]:
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    r = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern), path, pattern)
+    r = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern, decoded=True)
     return r.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -54,6 +54,8 @@ def test_bpe_table(spark, reference):
     for r in corpus():
         t = r[1] or ""
         assert np.frombuffer(bytes(got[r[0]].ids), "<u4").tolist() == reference.encode_ordinary(t) and bytes(got[r[0]].decoded) == t.encode()
+    both = {r.doc_id: bytes(r.decoded) for r in bpe.encode(docs(spark), PATH, PATTERN, decoded=True).collect()}
+    assert both == {k: bytes(r.decoded) for k, r in got.items()}
     assert bpe.encode(empty(spark), PATH, PATTERN).count() == 0
 
 

@@ -92,7 +92,7 @@ def counters(df: DataFrame, labels: list[str], ts: str, window: str = "1 minute"
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drains what a source holds into a table in memory, for trials and tests."""
+    """Drains what a source holds into a table in memory, for trials and tests. Not for state with processing-time timeouts: that runs until they have fired."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(300)
     return df.sparkSession.table(name)

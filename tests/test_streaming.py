@@ -1,6 +1,7 @@
 """The same functions over streams."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,10 +30,17 @@ def test_sessions_equal_batch(spark, stream):
 
 
 def test_triggered(spark, stream):
+    """State with timeouts keeps a query running, so the result is awaited and the query stopped."""
     _, s = stream
     made = grouping.triggered(s, ["k"], ["i"], 3600, lambda rows: (len(rows), rows[-1][0]), "k string, n long, last long", lambda rows: len(rows) == 3)
-    got = grouping.run_available(made, "triggered_out").collect()
-    assert sorted((r.n, r.last) for r in got) == [(3, 2), (3, 5)]
+    q = made.writeStream.outputMode("append").format("memory").queryName("triggered_out").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("triggered_out").count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sorted((r.n, r.last) for r in spark.table("triggered_out").collect()) == [(3, 2), (3, 5)]
 
 
 def test_rate_limit_equals_batch(spark, stream):

@@ -259,12 +259,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, less those that :func:`near_duplicates` doesn't keep: one of each group stays."""
-    path = shared_dir(docs.sparkSession)
-    near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).write.parquet(path)
-    gone = docs.sparkSession.read.schema("gone long").parquet(path)
+    """The rows of ``docs``, all columns unchanged, of which one of each group of linked documents stays: that of the smallest id.
+
+    Rows count, not ids: repeated rows and rows with a null id belong to groups by their texts. Where there are any, rows are
+    numbered and written out, and numbers stand for ids; of equal ids the row with the least digest of its columns stays, and
+    a null id stays only in a group without others. Of rows without words, those of one id are one group, others are none.
+    """
+    spark = docs.sparkSession
+    ids = fields(docs, doc_id=id_col).select(F.col("doc_id").cast("long").alias("doc_id"))
+    unique = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+    path = shared_dir(spark)
+    if unique:
+        near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).write.parquet(path)
+        rows, row = docs, docs[id_col].cast("long")
+    else:
+        name = "row"
+        while name in {c.lower() for c in docs.columns}:
+            name += "_"
+        numbered = shared_dir(spark)
+        docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(numbered)  # written, so that numbers stay
+        rows = spark.read.parquet(numbered)
+        row = rows[name]
+        near = near_duplicates(rows, size, percent, name, text_col).select(F.col("doc_id").alias("near_row"), "n_shingles", "component_id")
+        own = rows.select(row.alias("near_row"), rows[id_col].cast("long").alias("own_id"), F.md5(F.to_json(F.struct(*[rows[c] for c in docs.columns]))).alias("tie"))
+        wordless = F.expr("n_shingles = 0 AND own_id IS NOT NULL")
+        rank = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "tie", "near_row")
+        m = near.join(own, "near_row").select("near_row", F.when(wordless, F.col("own_id")).alias("own_group"), F.when(~wordless, F.col("component_id")).alias("component"), rank.alias("rank"))
+        first = m.groupBy("own_group", "component").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        first = first.select(F.col("own_group").alias("g"), F.col("component").alias("c"), F.col("least.near_row").alias("stays"))
+        gone = m.join(first, F.col("own_group").eqNullSafe(F.col("g")) & F.col("component").eqNullSafe(F.col("c"))).where("near_row <> stays")
+        gone.select(F.col("near_row").alias("gone")).write.parquet(path)
+    gone = spark.read.schema("gone long").parquet(path)
     few = gone.count() <= BROADCAST_IDS  # a checked bound; beyond it the same join shuffles
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    return rows.join(F.broadcast(gone) if few else gone, row == gone["gone"], "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def _across(members: DataFrame, distance: int, k: int = K) -> DataFrame:

@@ -11,7 +11,7 @@ import tiktoken
 import corpus_pipeline
 from millrace.llm import bpe
 from millrace.llm.bpe_query import vocabulary
-from tests.llm.data import corpus, docs
+from tests.llm.data import corpus, docs, text
 from tests.llm.test_text_operators import WORD, linked
 
 
@@ -73,5 +73,18 @@ def test_pipeline(spark, tmp_path):
     assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in got) == want
 
 
+def test_pipeline_keeps_one_of_repeated_and_null_ids(spark, tmp_path):
+    """Clean documents ingested twice, or once more without an id, stay whole; other texts under one id are documents of their own."""
+    a, b, c, d, e = (text(i, 80) for i in range(70, 75))
+    near = c.replace(c.split()[40], "changed", 1)
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, near), (3, c), (None, d), (None, d), (4, e), (4, text(75, 80)), (1, a)]
+    spark.createDataFrame([(k, t, "en", "s0", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (3, c), (None, d), (4, e), (4, text(75, 80))], key=str)
+    got = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert set(got) == {(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in left} and len(set(got.values())) == 1
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "substring dedup", "mixing to target weights", "byte-level BPE"] and corpus_pipeline.ORACLE_SQL is None

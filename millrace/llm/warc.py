@@ -4,9 +4,10 @@
 response of the largest page id, and the others as revisits that name it. Every task attempt writes an archive of its own,
 which its rows name: a task that runs again or twice leaves a file that no capture points to, never a changed one.
 
-The index: capture keys (reversed host, path, query) sorted by range into files of compressed blocks of ``BLOCK`` lines, and a
-sparse directory with the first key, place and length of each block. :func:`lookup` searches the directory by bisection,
-reads and searches one block, and reads one record's range. :func:`read` reads all records back by the places in the index.
+The index: capture keys (reversed host, path, query, in ASCII: one form is sorted, stored and sought) sorted by range into
+files of compressed blocks of ``BLOCK`` lines, and a sparse directory with the first key, place and length of each block.
+:func:`lookup` searches the directory by bisection, reads and searches one block, and reads one record's range.
+:func:`places` reads all blocks, :func:`read` all records by the places that it gives.
 
 Edge cases: null html is an empty payload; payloads under ``LEAST`` bytes are all responses; null and odd urls give keys
 that sort by their text; repeated rows of one page are records of their own, of which one is the response; of equal page ids
@@ -45,7 +46,11 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def url_key(url: str | None) -> str:
-    """The host's parts reversed, then path and query: org,example)/path?q."""
+    """The host's parts reversed, then path and query: org,example)/path?q. JSON-escaped, so in ASCII and without tabs and line ends."""
+    return json.dumps(_url_key(url))[1:-1]
+
+
+def _url_key(url: str | None) -> str:
     try:
         parts = urlsplit(url or "")
         host = ",".join(reversed((parts.hostname or "").split(".")))
@@ -150,7 +155,7 @@ def build_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
         try:
             for b in batches:
                 for key, *rest in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    waiting.append("\t".join([json.dumps(key)[1:-1], json.dumps(rest)]))
+                    waiting.append("\t".join([key, json.dumps(rest)]))
                     if len(waiting) >= block:
                         flush()
             if waiting:
@@ -168,7 +173,7 @@ def build_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
 
 def lookup(directory: list[tuple[str, str, int, int]], index_folder: str, archive_folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
     """The records of a url: bisection in the directory (first_key, file, start, length; sorted), then in blocks, then range reads."""
-    key = json.dumps(url_key(url))[1:-1]
+    key = url_key(url)
     fs, base = _fs(index_folder)
     archives, root = _fs(archive_folder)
     keys = [d[0] for d in directory]
@@ -191,6 +196,27 @@ def lookup(directory: list[tuple[str, str, int, int]], index_folder: str, archiv
     return found
 
 
+def places(directory: DataFrame, folder: str) -> DataFrame:
+    """Every line of the index blocks that the directory names: url_key, file, start, length. A block that isn't what the directory says, or isn't sorted, raises ValueError."""
+    spark = directory.sparkSession
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _fs(folder)
+        for b in batches:
+            for first, name, start, length, n in zip(*(b.column(i).to_pylist() for i in range(5))):
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    lines = [x.split("\t", 1) for x in zlib.decompress(f.read_at(length, start)).decode().split("\n")]
+                keys = [k for k, _ in lines]
+                if len(keys) != n or keys[0] != first or keys != sorted(keys):
+                    raise ValueError(f"damaged block in {name} at {start}")
+                rest = [json.loads(x) for _, x in lines]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([r[i] for r in rest], k) for i, k in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], ["url_key", "file", "start", "length"])
+
+    d = directory.select("first_key", "file", "start", "length", "lines").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "start")
+    return d.mapInArrow(run, "url_key string, file string, start long, length long")
+
+
 def read(captures: DataFrame, folder: str) -> DataFrame:
     """Every record of the index, read back by its place: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (of responses)."""
     ship(captures.sparkSession)
@@ -236,8 +262,9 @@ def archive(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    captures = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read(captures, f"{folder}/archive").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    directory = spark.read.schema("first_key string, file string, start long, length long, lines long").parquet(f"{folder}/directory")
+    return read(places(directory, f"{folder}/index"), f"{folder}/archive").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

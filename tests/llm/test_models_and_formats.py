@@ -288,6 +288,35 @@ def test_warc_index_blocks(spark):
         assert sorted(int(h["WARC-Page-ID"]) for h, _ in found) == [j for j in range(60) if (j % 3, j // 6) == (i % 3, i // 6)]
 
 
+def test_warc_index_of_odd_urls(spark):
+    """Keys beyond ASCII, quotes and backslashes are sorted as they are sought; the blocks give every place that was written."""
+    tails = ["a", "b", "z", "é", "éa", '"q"', "[", "\\", "\\a", "~", "A", "日本", "zé", "\U0001f600", "￿"]
+    urls = [f"http://h.org/{x}" for x in tails] + ["http://é.org/", "http://z.org/", "http://[bad\n\té", None]
+    d = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls * 2)], "page_id long, url string, html string")
+    folder = shared_dir(spark)
+    c = warc.write(warc.plan(d), f"{folder}/archive")
+    c.write.parquet(f"{folder}/captures")
+    c = spark.read.parquet(f"{folder}/captures")
+    for block in (4, 100):
+        index = f"{folder}/index{block}"
+        warc.build_index(c, index, block=block).write.parquet(f"{folder}/directory{block}")
+        written = spark.read.parquet(f"{folder}/directory{block}")
+        directory = sorted((r.first_key, r.file, r.start, r.length) for r in written.collect())
+        for i, u in enumerate(urls):
+            assert sorted(int(h["WARC-Page-ID"]) for h, _ in warc.lookup(directory, index, f"{folder}/archive", u)) == [i, i + len(urls)], u
+        assert warc.lookup(directory, index, f"{folder}/archive", "http://h.org/è") == []
+        assert sorted(map(tuple, warc.places(written, index).collect())) == sorted(map(tuple, c.select("url_key", "file", "start", "length").collect()))
+
+
+def test_op8_reads_by_the_index(spark, tmp_path, monkeypatch):
+    _, d = pages(spark)
+    d.write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op8_warc(spark, str(tmp_path)).count() == 9
+    whole = warc.build_index
+    monkeypatch.setattr(warc, "build_index", lambda c, folder: whole(c.where("page_id <> 5"), folder))
+    assert {r.page_id for r in warc.op8_warc(spark, str(tmp_path)).collect()} == {1, 2, 3, 4, 6, 7, 8, 9}
+
+
 def test_warc_empty(spark):
     _, d = pages(spark)
     folder = shared_dir(spark)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from re._parser import parse as parse_regex
 
 import numpy as np
 import pytest
@@ -238,6 +239,38 @@ def test_license_rules():
     assert license.detections(license.words_of("summit license committee")[0]) == []
 
 
+def matches(tree) -> list[str]:
+    """Texts that a parsed regex matches: every branch, one of each class, repeats at their least and once more."""
+    out = [""]
+    for op, v in tree:
+        op = str(op)
+        if op == "LITERAL":
+            part = [chr(v)]
+        elif op == "IN":
+            part = [chr(x) if str(o) == "LITERAL" else chr(x[0]) if str(o) == "RANGE" else "q" for o, x in v]
+        elif op == "BRANCH":
+            part = [x for branch in v[1] for x in matches(branch)]
+        elif op == "SUBPATTERN":
+            part = matches(v[3])
+        elif op == "MAX_REPEAT":
+            part = [x * n for n in {v[0], min(v[0] + 1, int(v[1]))} for x in matches(v[2])]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+            part = [""]
+        out = [a + b for a in out for b in dict.fromkeys(part)]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    for keyword, own in license.rules().items():
+        for _, label, _, regex in own:
+            for text in matches(parse_regex(regex.pattern.decode())):
+                w, _ = license.words_of(text)
+                assert keyword in w and any(m.group() == text.encode() for m in regex.finditer(w)), (label, text)
+    for text, label in [("Expat License", "mit"), ("Sun Industry Standards Source License", "sun-sissl"), ("SISSL", "sun-sissl"), ("OpenRAIL", "openrail"), ("openrail license", "openrail"), ("CreativeML Open RAIL-M", "openrail"), ("open rail m license", "openrail")]:
+        assert [x[2:] for x in license.detections(license.words_of(f"see {text} here")[0])] == [(label, 0.9 if label == "openrail" else 0.85)], text
+
+
 def test_license_table(spark):
     rows = [(1, "x under the mit license under the MIT license"), (2, None), (3, "under the mit licensed"), (4, "Éunder the mit license"), (5, "GPL version 2 or later"), (1, "again")]
     d = spark.createDataFrame([(*r, "l") for r in rows], "doc_id long, text string, labels string")

@@ -35,14 +35,11 @@ def clusters(lines: DataFrame, line: str, support: int, delimiters: str = DELIMI
     return counted.select(F.col("__pattern").alias("pattern"), "n"), out.join(counted.select("__pattern"), "__pattern", "left_semi")
 
 
-def patternize(lines: DataFrame, line: str, support: float = 4.0, delimiters: str = DELIMITERS, iterate_outliers: bool = False, rounds: int = 8) -> DataFrame:
-    """pattern, n. ``support`` is a percentage of the lines; with ``iterate_outliers``, lines of no cluster are mined again, with the percentage of what is left."""
+def patternize(lines: DataFrame, line: str, support: float = 4.0, delimiters: str = DELIMITERS, iterate_outliers: bool = False) -> DataFrame:
+    """pattern, n. ``support`` is a percentage of the lines; with ``iterate_outliers``, lines of no cluster are mined again, with the percentage of what is left, until a round finds no cluster or no line is left."""
     rest = lines.select(line).where(F.col(line).isNotNull())
     found = None
-    for _ in range(rounds if iterate_outliers else 1):
-        n = rest.count()
-        if not n:
-            break
+    while n := rest.count():
         made, members = clusters(rest, line, max(1, math.floor(n * support / 100)), delimiters)
         made = written(made)
         found = made if found is None else found.union(made)

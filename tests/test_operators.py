@@ -223,6 +223,9 @@ def test_patternize(spark):
     d = spark.createDataFrame([(f"login of user{i} ok",) for i in range(10)] + [("odd one out",)], "line string")
     got = {r.pattern.replace("\x1a", "*"): r.n for r in patternize.patternize(d, "line", 50, " ").collect()}
     assert got == {"login of * ok": 10}
+    rows = [(f"a{k} b{k}",) for k in range(10) for _ in range(2**k)]  # at half of what is left, one cluster a round
+    got = patternize.patternize(spark.createDataFrame(rows, "line string"), "line", 50, " ", iterate_outliers=True).collect()
+    assert {r.pattern: r.n for r in got} == {f"a{k} b{k}": 2**k for k in range(10)}
     assert patternize.as_rule_pattern("login of \x1a ok") == "login of @ESTRING:.dict.string0: @ok"
 
 

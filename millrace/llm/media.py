@@ -9,6 +9,10 @@ Copies of a payload are put together by a partial aggregation on the digest befo
 in the store, once a payload, and only they and the digest meet the references: a payload that a third of all documents
 hold moves once per task.
 
+A caption goes to a media reference of its own figure: the last before it, else the first after it, that has none yet. Where
+there is none, and outside of figures, it is text at its place. It ends with its figure at the latest, and a figure with
+the element around it.
+
 Edge cases: null text is an empty payload (one row of padding); equal texts give equal values; a reference whose digest is
 not in the store keeps null features; malformed HTML is read as far as the parser goes, null HTML gives an empty array;
 repeated rows and null ids pass through; other columns are not read; an empty table gives no rows.
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -85,19 +90,76 @@ def features(payload: bytes) -> str:
     return f"{ROW}x{n // ROW};mean={mean:.3f};dev={dev:.3f};bits={float(-(p * np.log2(p)).sum()):.3f}"
 
 
+_BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "figure", "section"}
+#: Elements whose end also ends the figures within.
+_AROUND = {"div", "li", "ul", "ol", "td", "th", "tr", "table", "article", "figure", "section", "main", "aside", "header", "footer", "blockquote", "body"}
+
+
+class _Figure:
+    def __init__(self) -> None:
+        self.free: list[dict] = []  # media without a caption
+        self.early: list[dict] = []  # captions, as text, that wait for a medium
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
+        self.found: list[dict | None] = []
         self.text: list[str] = []
         self.skip = 0
         self.caption: list[str] | None = None
+        self.before = 0  # media without a caption when the open caption began
+        self.figures: list[_Figure] = []
+        self.around: list[str] = []
+        self.n_around: Counter[str] = Counter()
+
+    def _segment(self, kind: str, text: str | None, digest: str | None = None) -> dict:
+        self.found.append({"position": len(self.found), "kind": kind, "text": text, "digest": digest})
+        return self.found[-1]
 
     def _flush(self) -> None:
+        if self.caption is not None:
+            self.caption.append(" ")
+            return
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.found.append({"position": len(self.found), "kind": "text", "text": text, "digest": None})
+            self._segment("text", text)
+
+    def _end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        figure = self.figures[-1] if self.figures else None
+        if not text:
+            return
+        if figure and figure.free:
+            figure.free.pop(self.before - 1 if self.before else 0)["text"] = text
+        else:
+            s = self._segment("text", text)
+            if figure:
+                figure.early.append(s)
+
+    def _end_around(self, tag: str) -> None:
+        while self.n_around[tag]:
+            last = self.around.pop()
+            self.n_around[last] -= 1
+            if last == "figure":
+                self._end_caption()
+                self._flush()
+                self.figures.pop()
+            if last == tag:
+                break
+
+    def finish(self) -> list[dict]:
+        """The segments, once the input has ended."""
+        self._end_caption()
+        self._flush()
+        found = [s for s in self.found if s is not None]
+        for i, s in enumerate(found):
+            s["position"] = i
+        return found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
@@ -107,26 +169,38 @@ class _Reader(HTMLParser):
             a = dict(attrs)
             src = a.get("src") or ""
             digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
-            self.found.append({"position": len(self.found), "kind": "media", "text": a.get("alt"), "digest": digest})
+            s = self._segment("media", a.get("alt"), digest)
+            if self.figures:
+                figure = self.figures[-1]
+                if figure.early:
+                    early = figure.early.pop(0)
+                    s["text"] = early["text"]
+                    self.found[early["position"]] = None
+                else:
+                    figure.free.append(s)
         elif tag == "figcaption":
+            self._end_caption()
             self._flush()
             self.caption = []
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "article", "figure", "section"):
+            self.before = len(self.figures[-1].free) if self.figures else 0
+        elif tag in _BLOCKS or tag == "br":
+            if tag == "figure":
+                self._end_caption()
+                self.figures.append(_Figure())
             self._flush()
+        if tag in _AROUND:
+            self.around.append(tag)
+            self.n_around[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            last = next((s for s in reversed(self.found) if s["kind"] == "media"), None)
-            if last is not None:
-                last["text"] = text
-            elif text:
-                self.found.append({"position": len(self.found), "kind": "text", "text": text, "digest": None})
-            self.caption = None
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "figure", "section"):
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag in _BLOCKS:
             self._flush()
+        if tag in _AROUND:
+            self._end_around(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -138,8 +212,7 @@ def parse(html: str | None) -> list[dict]:
     r = _Reader()
     r.feed(html or "")
     r.close()
-    r._flush()
-    return r.found
+    return r.finish()
 
 
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -159,6 +159,31 @@ def test_interleaving():
     assert got[3]["digest"] == "dd" and media.parse(None) == [] and media.parse("<p><b>x") != []
 
 
+def test_captions_stay_with_their_figures(spark):
+    figure = lambda *x: "<figure>" + "".join(x) + "</figure>"
+    img = lambda k: f'<img src="media:sha256:{k}" alt="alt {k}">'
+    cap = lambda x: f"<figcaption>{x}</figcaption>"
+    page = "one" + figure(img(1), cap("first")) + "two" + figure(cap("second"), img(2)) + figure(cap("<p>no</p><p>image</p>")) + "three" + figure(img(3)) + cap("loose") + figure(img(4), img(5), cap("of 5"), cap("of 4"), cap("more"))
+    want = [("text", "one"), ("media", "first"), ("text", "two"), ("media", "second"), ("text", "no image"), ("text", "three"), ("media", "alt 3"), ("text", "loose"), ("media", "of 4"), ("media", "of 5"), ("text", "more")]
+    pages = {
+        1: (page, want),
+        2: ("<figure>" + img(1) + "<figcaption>open</figure><p>after</p>" + img(2), [("media", "open"), ("text", "after"), ("media", "alt 2")]),
+        3: ("<article><figure>" + img(1) + "<figcaption>open</article><p>after</p>", [("media", "open"), ("text", "after")]),
+        4: (img(1) + "<figcaption>never closed <b>but kept", [("media", "alt 1"), ("text", "never closed but kept")]),
+        5: (figure(figure(img(1), cap("inner")), img(2), cap("outer"), "tail"), [("media", "inner"), ("media", "outer"), ("text", "tail")]),
+        6: (figure(img(1), cap("a" + img(2) + "b")), [("media", "a b"), ("media", "alt 2")]),
+    }
+    d = spark.createDataFrame([(k, h) for k, (h, _) in pages.items()], "page_id long, html string")
+    got = media.interleave(d)
+    for r in got.collect():
+        assert [(s.kind, s.text) for s in r.segments] == pages[r.id][1] and [s.position for s in r.segments] == list(range(len(r.segments))), r.id
+    texts = spark.createDataFrame([("x",), ("y",)], "text string")
+    x = hashlib.sha256(b"x").hexdigest()
+    one = spark.createDataFrame([(1, "t" + figure(cap("of x"), img(x)) + "u" + figure(img("none"), cap("of none")))], "page_id long, html string")
+    r = media.resolve(media.references(media.interleave(one)), media.described(media.store(texts))).collect()
+    assert sorted((a.id, a.position, a.caption, a.digest, a.n_bytes) for a in r) == [(1, 1, "of x", x, 1), (1, 3, "of none", "none", None)]
+
+
 def test_media_table(spark, tmp_path):
     docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in media.op4_media(spark, str(tmp_path)).collect()}

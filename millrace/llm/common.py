@@ -129,3 +129,19 @@ def fields(df, **names: str):
     from pyspark.sql import functions as F
 
     return df.select(*[F.col(f"`{c}`").alias(own) for own, c in names.items()])
+
+
+def looked_up(rows, labels, key: str, count: str, label: str, hot: int, spread):
+    """``rows`` with the label of their key (null without one), rows of hot keys not gathered.
+
+    ``labels`` has unique keys and the number of rows that hold each. Keys of more than ``hot`` rows go by broadcast: of n rows
+    there are n / ``hot`` such keys at most. Their rows, and those without a key, take ``spread``, which is never a key, into
+    the join of the others.
+    """
+    from pyspark.sql import functions as F
+
+    top = labels.where(F.col(count) > hot).select(key, F.col(label).alias("__hot"))
+    r = rows.join(F.broadcast(top), key, "left")
+    r = r.withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
+    rest = labels.where(F.col(count) <= hot).select(F.col(key).alias("__key"), F.col(label).alias("__rest"))
+    return r.join(rest, "__key", "left").withColumn(label, F.coalesce("__hot", "__rest")).drop("__hot", "__rest", "__key")

@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fields, lowered, mixed, release, released, word_hashes, words
+from millrace.llm.common import chunks, fields, looked_up, lowered, mixed, release, released, word_hashes, words
 from millrace.session import remove, shared_dir, ship
 
 K = 96
 MISS = 1e-5
 #: Keys that a bucket holds, about.
 BUCKET_KEYS = 500_000
+#: Members of runs whose signatures meet in a bin, about.
+BIN_MEMBERS = 60_000
 #: Keys that a task packs at once.
 FLUSH_KEYS = 500_000
 #: Rows of two or three longs that are broadcast, some 40 MB as a hash table; more are joined by a shuffle, with the same result.
@@ -359,12 +361,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
         for path in paths:
             if path not in used:
                 remove(spark, path)
-    # labels of classes that would make a hot key go by broadcast, bounded by HOT; rows that need no other label are spread
-    hot = labels.where(F.col("n") > HOT).select("set_key", F.col("component").alias("hot"))
-    r = p.select("doc_id", "n_shingles", "set_key").join(F.broadcast(hot), "set_key", "left")
-    r = r.withColumn("set_key", F.when(F.col("hot").isNull() & F.col("set_key").isNotNull(), F.col("set_key")).otherwise(F.xxhash64("doc_id").cast("string").cast("binary")))
-    r = r.join(labels.where(F.col("n") <= HOT).select("set_key", "component"), "set_key", "left")
-    r = r.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("hot", "component", "doc_id")).alias("component_id"))
+    r = looked_up(p.select("doc_id", "n_shingles", "set_key"), labels, "set_key", "n", "component", HOT, F.xxhash64("doc_id").cast("string").cast("binary"))
+    r = r.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return r.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), used
 
 
@@ -466,7 +464,7 @@ def _across(members: DataFrame, reps: DataFrame, m: int, percent: int, k: int =
         release()
         return pa.table({"rep": pa.array(np.concatenate([x for x, _ in found])), "hub": pa.array(np.concatenate([y for _, y in found]))})
 
-    bins = max(1, -(-(members.agg(F.count(F.lit(1))).first()[0]) // BUCKET_KEYS))
+    bins = max(1, -(-(members.agg(F.count(F.lit(1))).first()[0]) // BIN_MEMBERS))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     t = members.join(reps.select("rep", "signature", "n_shingles"), "rep").withColumn("tiles", tiles).withColumn("tile", F.expr("cast(pmod(xxhash64(rep), tiles) as int)"))
     t = t.withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumns({"t1": F.least("tile", "with"), "t2": F.greatest("tile", "with")})
@@ -475,6 +473,25 @@ def _across(members: DataFrame, reps: DataFrame, m: int, percent: int, k: int =
     return t.groupBy("bin").applyInArrow(pairs, "rep long, hub long")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, shingles FROM s),
+classes AS (SELECT min(doc_id) AS rep, any_value(n_shingles) AS size, list_sort(shingles) AS k FROM n WHERE n_shingles > 0 GROUP BY list_sort(shingles)),
+e AS (SELECT rep, size, unnest(k) AS shingle FROM classes),
+pairs AS (SELECT a.rep AS x, b.rep AS y, count(*) AS met, any_value(a.size) AS na, any_value(b.size) AS nb
+          FROM e a JOIN e b ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size) GROUP BY a.rep, b.rep),
+links AS (SELECT x, y FROM pairs WHERE 100 * met >= 85 * (na + nb - met)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(node, c) AS (SELECT x, x FROM ways UNION SELECT ways.y, reach.c FROM reach JOIN ways ON reach.node = ways.x WHERE reach.c < ways.y),
+label AS (SELECT node, min(c) AS c FROM reach GROUP BY node),
+own AS (SELECT n.doc_id, n_shingles, CASE WHEN n_shingles > 0 THEN classes.rep END AS rep FROM n LEFT JOIN classes ON n_shingles > 0 AND list_sort(n.shingles) = classes.k)
+SELECT doc_id, n_shingles, coalesce(label.c, own.rep, doc_id) AS component_id, coalesce(label.c, own.rep, doc_id) = doc_id AS kept
+FROM own LEFT JOIN label ON own.rep = label.node
+"""
+
+
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     r = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85)
     return r.select("doc_id", "n_shingles", "component_id", "kept")

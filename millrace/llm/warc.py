@@ -12,7 +12,7 @@ files of compressed blocks of ``BLOCK`` lines, and a sparse directory with the f
 Edge cases: null html is an empty payload; payloads under ``LEAST`` bytes are all responses; null and odd urls give keys
 that sort by their text; repeated rows of one page are records of their own, of which one is the response; of equal page ids
 revisits name that id; a null page id is never named and gives a response of its own; other columns are not read; an empty
-table gives no rows and an empty index.
+table gives no rows and an empty index. A payload of any length is one record, held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations
@@ -33,11 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fields
-from millrace.session import shared_dir, ship
+from millrace.llm.common import fields, looked_up
+from millrace.session import remove, shared_dir, ship
 
 LEAST = 1000
 BLOCK = 2000
+#: Copies of a payload from which on its response's id is broadcast.
+HOT = 50_000
+#: Bytes of an archive that are read one after another, and those that a task reads, about.
+RANGE, TASK = 8 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -91,9 +95,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     d = fields(pages, page_id=id_col, url=url_col, html=html_col).withColumn("payload", F.coalesce("html", F.lit("")).cast("binary"))
     d = d.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("size"))
     # of copies, one row is the response: digests go to it through a partial aggregation, and the join back moves no payload of a small page twice
-    first = d.where((F.col("size") >= LEAST) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = first.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    d = d.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id), 8) as int)")).join(first, ["digest", "salt"], "left")
+    first = d.where((F.col("size") >= LEAST) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    d = looked_up(d, first, "digest", "n", "largest", HOT, F.xxhash64("page_id").cast("string"))
     refers = F.when(F.col("page_id").isNull() | (F.col("size") < LEAST) | (F.col("page_id") == F.col("largest")), F.lit(None)).otherwise(F.col("largest"))
     return d.select("page_id", "url", "digest", "size", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
 
@@ -246,8 +249,11 @@ def read(captures: DataFrame, folder: str) -> DataFrame:
         for f in opened.values():
             f.close()
 
-    # an archive's records, in their order, to one task where they fit; a large archive is cut into ranges
-    d = captures.select("file", "start", "length").repartition("file", F.expr("start div 67108864")).sortWithinPartitions("file", "start")
+    # ranges of archives, each read in its order; their number follows the bytes that the archives hold
+    fs, base = _fs(folder)
+    held = sum(f.size or 0 for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)))
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK))
+    d = captures.select("file", "start", "length").repartition(tasks, "file", F.expr(f"start div {RANGE}")).sortWithinPartitions("file", "start")
     return d.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
@@ -263,6 +269,7 @@ def archive(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    remove(spark, f"{folder}/captures")  # from here on the index alone says where records are
     directory = spark.read.schema("first_key string, file string, start long, length long, lines long").parquet(f"{folder}/directory")
     return read(places(directory, f"{folder}/index"), f"{folder}/archive").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

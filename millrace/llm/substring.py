@@ -12,7 +12,10 @@ windows the expected number of windows wrongly so is about n**2 / 2**(65 + log2(
 
 Edge cases: null and empty texts have no words; a text of fewer words than a window keeps all; repeated rows are documents
 of their own, so all their windows repeat; a null id is an id; ties don't occur; other columns are not read; an empty
-table gives no rows.
+table gives no rows. A text of any length is read whole, by one task, in a chunk of its own.
+
+At scale: blocks and buckets keep their sizes, so memory doesn't grow with the corpus. A block's hashes thin out over the
+buckets, down to a hash a row at some 10 TB, which costs about three times the bytes of a packed hash.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from millrace.llm.common import chunks, fields, mixed, powers, release, word_has
 from millrace.session import ship
 
 BLOCK_BYTES = 8 << 20
-#: A block also grows to this share of the corpus, so that what it sends to a bucket stays a few hashes at least.
-BLOCK_SHARE = 2e-6
+#: Blocks that a partition of the text's shuffle holds at most, about: they are worked on one after another.
+BLOCKS_A_PARTITION = 32
 #: Hashes that a bucket holds, about.
 BUCKET_HASHES = 1_000_000
 
@@ -57,12 +60,11 @@ def window_hashes(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.nda
 def _blocks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int, int]:
     d = fields(docs, doc_id=id_col, text=text_col, **{f"keep_{i}": c for i, c in enumerate(keep)})
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = max(BLOCK_BYTES, int(BLOCK_SHARE * total))
-    blocks, buckets = max(1, -(-total // block)), max(1, -(-total // (6 * BUCKET_HASHES)))
-    most = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2000)
+    blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // (6 * BUCKET_HASHES)))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // BLOCKS_A_PARTITION))
     # pmod of a hash of id and length: copies under one id do not all meet unless they are the same row
     d = d.withColumn("block", F.expr(f"pmod(xxhash64(doc_id, octet_length(text)), {blocks})"))
-    return d.repartition(min(blocks, most), "block"), blocks, buckets
+    return d.repartition(min(blocks, partitions), "block"), blocks, buckets
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", joiner: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -172,6 +174,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     return r.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT r, unnest(range(1, len(words) - 33)) AS i, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS h FROM w WHERE len(words) >= 35),
+again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT g.r, g.i FROM g JOIN again USING (h)),
+p AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+c AS (SELECT p.r, p.i, p.word, max(CASE WHEN hits.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+      FROM p LEFT JOIN hits ON p.r = hits.r AND p.i = hits.i),
+s AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (r)
+"""
+
+
 def op5_substring(spark, sf_dir: str) -> DataFrame:
     r = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35, joiner=" ")
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

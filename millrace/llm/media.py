@@ -287,6 +287,6 @@ def op4_media(spark, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     pages = docs.select(F.col("doc_id"), page_of(F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))), digest).alias("html"))
     r = resolve(references(interleave(pages, "doc_id")), described(store(docs)))
-    return r.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 

@@ -12,6 +12,7 @@ lone pre-tokens found in the vocabulary are taken as they are. Repeated rows and
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -144,12 +145,27 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and worker process."""
-    return Codec(path, pattern)
+    return Codec(_here(path), pattern)
+
+
+def sent(spark, path: str) -> None:
+    """Sends the vocabulary to the executors, which need not have it under the driver's path."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
+def _here(path: str) -> str:
+    from pyspark import SparkFiles
+
+    if SparkFiles._is_running_on_worker and os.path.exists(own := SparkFiles.get(os.path.basename(path))):
+        return own
+    return path
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit); with ``decoded``, also decoded binary, which the ids stand for, made in the same worker."""
     ship(docs.sparkSession)
+    sent(docs.sparkSession, path)
     names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds decoded binary to rows of :func:`encode`; null ids decode to nothing."""
     ship(encoded.sparkSession)
+    sent(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

@@ -10,8 +10,8 @@ Plan: rows are partitioned by conversation, sorted by turn within the partition,
 length needs the memory of one turn; digests are kept running.
 
 Edge cases: null text and null role count as empty; null turns come first; rows of equal turn are taken in the order of
-role and text; repeated rows are turns of their own; a null conv_id is a conversation of its own; an empty table gives
-no rows; other columns are not read.
+role and text; repeated rows are turns of their own; rows with a null conv_id are one conversation; a text of any length is
+one segment; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import Codec, codec
+from millrace.llm.bpe import Codec, codec, sent
 from millrace.llm.bpe_query import vocabulary
 from millrace.llm.common import fields
 from millrace.session import ship
@@ -44,7 +44,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return _UNESCAPE.sub(r"\1", text) if "\\" in text else text
 
 
 class Template:
@@ -68,28 +68,42 @@ class Template:
     def _ids(self, content: str) -> np.ndarray:
         return np.frombuffer(self.codec.packed(escape(content)), np.dtype("<u4"))
 
+    def segments(self, ids: np.ndarray) -> list[tuple[int, int, int | None, str]]:
+        """The pieces between reserved ids, each decoded once: first and end of its ids, the reserved id before it, its (escaped) text."""
+        cut = np.flatnonzero(ids >= self.turn).tolist()
+        bounds = zip([0, *(c + 1 for c in cut)], [*cut, len(ids)], [None, *(int(ids[c]) for c in cut)])
+        return [(a, b, mark, self._text(ids[a:b])) for a, b, mark in bounds]
+
+    def rendered(self, segments: list[tuple[int, int, int | None, str]]) -> str:
+        return "".join(x for _, _, mark, text in segments for x in ("" if mark is None else self.shown[mark], text))
+
     def render(self, ids: np.ndarray) -> str:
         """The ids as a string, reserved ones as their control strings."""
-        cut = np.flatnonzero(ids >= self.turn)
-        parts, last = [], 0
-        for i in cut:
-            parts += [self._text(ids[last:i]), self.shown[int(ids[i])]]
-            last = i + 1
-        return "".join([*parts, self._text(ids[last:])])
+        return self.rendered(self.segments(ids))
+
+    def trained(self, ids: np.ndarray, mask: np.ndarray, segments: list[tuple[int, int, int | None, str]]) -> str:
+        """All text under the mask, unescaped."""
+        edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist()
+        known = {(a, b): text for a, b, _, text in segments}
+        return "".join(unescape(known[a, b] if (a, b) in known else self._text(ids[a:b])) for a, b in zip(edges[::2], edges[1::2]))
 
     def _text(self, ids: np.ndarray) -> str:
         return self.codec.decode(np.ascontiguousarray(ids, np.dtype("<u4")).tobytes()).decode()
 
-    def read(self, ids: np.ndarray) -> Iterator[tuple[str, str]]:
-        """The (role, text) turns that ids hold."""
-        for a in np.flatnonzero(ids == self.turn):
-            says, end = (int(a + np.flatnonzero(ids[a:] == x)[0]) for x in (self.says, self.end))
-            yield unescape(self._text(ids[a + 1 : says])), unescape(self._text(ids[says + 1 : end]))
+    def read(self, segments: list[tuple[int, int, int | None, str]]) -> Iterator[tuple[str, str]]:
+        """The (role, text) turns that decoded ids hold."""
+        role = ""
+        for _, _, mark, text in segments:
+            if mark == self.turn:
+                role = unescape(text)
+            elif mark == self.says:
+                yield role, unescape(text)
 
 
 def turns(rows: DataFrame, path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Every row formatted: conv_id, turn, ids array<int>, loss_mask array<boolean>, rendered string."""
     ship(rows.sparkSession)
+    sent(rows.sparkSession, path)
     d = fields(rows, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +119,7 @@ def turns(rows: DataFrame, path: str, pattern: str, conv_col: str = "conv_id", t
 def summaries(rows: DataFrame, path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per conversation, read back from its formatted ids: counts and digests of turns and of the text under the loss mask."""
     ship(rows.sparkSession)
+    sent(rows.sparkSession, path)
     d = fields(rows, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     conv_type = d.schema["conv_id"].dataType.simpleString()
     d = d.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -133,13 +148,14 @@ def summaries(rows: DataFrame, path: str, pattern: str, conv_col: str = "conv_id
                         close()
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 ids, mask = t.assemble(role.as_py(), text.as_py())
-                for r, x in t.read(ids):
+                segments = t.segments(ids)
+                for r, x in t.read(segments):
                     now[1] += 1
                     now[2].update(f"{r}\n{x}\n".encode())
-                trained = unescape(t._text(ids[mask]))
+                trained = t.trained(ids, mask, segments)
                 now[3] += len(trained)
                 now[4].update(trained.encode())
-                now[5] += len(t.render(ids))
+                now[5] += len(t.rendered(segments))
                 now[6] += len(ids)
                 now[7] += int(mask.sum())
                 if len(done) >= 1000:
@@ -156,4 +172,16 @@ def op2_chat(spark, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return summaries(rows.unionByName(more), *vocabulary())
+    return summaries(rows.unionByName(more), *vocabulary()).drop("n_tokens", "loss_tokens")
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, '\\|<turn>|<says>|</turn>|### System:|### User:|### Assistant:' AS control FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(19 + length(role) + length(text) + len(regexp_extract_all(role, control)) + len(regexp_extract_all(text, control))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

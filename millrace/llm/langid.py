@@ -4,7 +4,8 @@ The network reads UTF-8 bytes; each position's two hidden states give probabilit
 labelled, and a document's probabilities are the means over its positions. A document is read whole, in consecutive windows
 of ``WINDOW`` bytes with a fresh state each, which makes long and short texts alike and lets numpy run thousands of
 windows in step. Weights are trained on the driver in numpy by backpropagation through time over a bounded sample of
-labelled rows: at most ``PER_LABEL`` documents of a label (those of least hash) and ``WINDOWS`` windows of each.
+labelled rows: at most ``PER_LABEL`` rows of a label (those of least hash of the id) and ``WINDOWS`` windows of each, spread
+evenly over the text and cut out before anything is collected.
 
 Edge cases: a text that is null, empty or without a letter gives ``und`` with score 0; ties go to the label that sorts
 first; repeated rows get equal answers; without one labelled row every document is ``und``; ids pass through unchanged, null
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,19 +180,16 @@ class Network:
         return out
 
 
-def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """A network fitted to (text, label) rows; the windows are spread evenly over each text."""
+def train(rows: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """A network fitted to (window, label) rows; a window has ``TRAIN_WINDOW`` bytes at most."""
     labels = sorted({label for _, label in rows})
     net = Network.fresh(labels)
     windows, gold = [], []
-    for text, label in rows:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for at in np.unique(np.linspace(0, max(0, len(raw) - TRAIN_WINDOW), WINDOWS).astype(int)):
-            piece = np.full(TRAIN_WINDOW, 256, np.int16)
-            got = raw[at : at + TRAIN_WINDOW]
-            piece[: len(got)] = got
-            windows.append(piece)
-            gold.append(labels.index(label))
+    for window, label in rows:
+        piece = np.full(TRAIN_WINDOW, 256, np.int16)
+        piece[: len(window)] = np.frombuffer(window, np.uint8)
+        windows.append(piece)
+        gold.append(labels.index(label))
     if not windows:
         return net
     x, y = np.stack(windows), np.array(gold)
@@ -219,13 +218,14 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 11) ->
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> Network:
     """Trains on rows of ``docs`` for which ``learn`` (over the columns doc_id, text, lang) holds and text and lang aren't null."""
     d = fields(docs, doc_id=id_col, text=text_col, lang=lang_col).where(learn).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = F.xxhash64("doc_id")
-    # row_number() <= n becomes a group limit before the shuffle: each task sends n rows of a label at most
-    ids = d.select("doc_id", "lang").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("n") <= per_label)
-    picked = [r.doc_id for r in ids.select("doc_id").collect()]  # bounded: per_label times labels
-    rows = d.where(F.col("doc_id").isin(picked)).select("doc_id", "text", "lang").collect() if picked else []
-    rows = sorted({(r.doc_id, r.lang, r.text) for r in rows})
-    return train([(text, lang) for _, lang, text in rows])
+    raw = F.col("text").cast("binary")
+    room = F.greatest(F.octet_length("text") - TRAIN_WINDOW, F.lit(0))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.floor(i * room / (WINDOWS - 1)).cast("int")))
+    d = d.select("doc_id", "lang", F.transform(starts, lambda at: F.substring(raw, at + 1, F.lit(TRAIN_WINDOW))).alias("windows"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "windows")
+    # row_number() <= n becomes a group limit before the shuffle: each task sends n rows of a label at most, of their texts the windows
+    rows = d.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("lang", "n", "windows").collect()  # bounded: per_label times labels
+    return train([(bytes(window), r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n)) for window in r.windows])
 
 
 def named_rows(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -257,16 +257,24 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     return d.mapInArrow(released(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text gets a language; those that would be ``und`` go."""
+def keep_identified(docs: DataFrame, net: Network, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, that is a letter; where ``lang_col`` is null it takes the language found.
+
+    The rest of each row is unchanged. A network without labels (nothing to learn from) still keeps every text with a letter.
+    """
     ship(docs.sparkSession)
-    kept, at = pickle.dumps(net), docs.columns.index(text_col)
+    kept, at, lang = pickle.dumps(net), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = pickle.loads(kept)
         for batch in batches:
             for part, raw, off in chunks(batch, at, 1 << 20):
-                yield part.filter(pa.array(named_rows(raw, off) & (n.pooled(raw, off).max(1, initial=0) > 0)))
+                named = named_rows(raw, off)
+                if n.labels and named.any():
+                    best = n.pooled(raw, off).argmax(1)
+                    found = pa.array([n.labels[k] for k in best], pa.string()).cast(part.column(lang).type)
+                    part = part.set_column(lang, part.schema.field(lang), pc.if_else(pc.is_null(part.column(lang)), found, part.column(lang)))
+                yield part.filter(pa.array(named))
 
     return docs.mapInArrow(released(run), docs.schema)
 

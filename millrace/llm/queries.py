@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat": chat.OP2_SQL,
+    "op5_substring": substring.OP5_SQL,
+    "op9_neardup": neardup.OP9_SQL,
     "op6_topk": topk.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_mix": mixing.OP10_SQL,

@@ -191,9 +191,41 @@ def test_media_table(spark, tmp_path):
     for r in corpus():
         raw = (r[1] or "").encode()
         p, g = media.padded(raw), got[r[0]]
-        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32, g.caption) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), f"document {r[0]}")
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert g.media_bytes == len(media.to_png(p)) and g.feature == media.features(p)
-    assert got[5].media_sha256 == got[6].media_sha256
+        # the stored form and the feature, written out without the operator
+        samples = np.frombuffer(p, np.uint8)
+        share = np.bincount(samples, minlength=256) / len(samples)
+        size, mean, dev, bits = (x.partition("=")[2] or x for x in g.feature.split(";"))
+        assert size == f"576x{len(p) // 576}" and float(mean) == pytest.approx(samples.mean(), abs=6e-4) and float(dev) == pytest.approx(samples.std(), abs=6e-4)
+        assert float(bits) == pytest.approx(-sum(x * np.log2(x) for x in share if x), abs=6e-4)
+        image = media.to_png(p)
+        assert g.media_bytes == len(image) and g.media_sha256 == hashlib.sha256(image).hexdigest() and png_samples(image) == p
+    values = [c for c in media.op4_media(spark, str(tmp_path)).columns if c != "doc_id"]
+    assert [got[5][c] for c in values] == [got[6][c] for c in values]  # equal texts, equal values
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    pages = docs(spark).select("doc_id", media.page_of(F.concat(F.lit("document "), F.col("doc_id").cast("string")), digest).alias("html"))
+    found = media.resolve(media.references(media.interleave(pages, "doc_id")), media.described(media.store(docs(spark)))).collect()
+    assert {(r.id, r.position, r.caption, r.n_bytes) for r in found} == {(r[0], 0, f"document {r[0]}", len((r[1] or "").encode())) for r in corpus()}
+    empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert media.op4_media(spark, str(tmp_path / "none")).count() == 0
+
+
+def png_samples(image: bytes) -> bytes:
+    """The samples of an 8-bit grey PNG whose lines use filter 0, read without the operator."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, width = 8, b"", 0
+    while at < len(image):
+        n, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        body = image[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(image[at + 8 + n : at + 12 + n], "big")
+        width = int.from_bytes(body[:4], "big") if kind == b"IHDR" else width
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(data)
+    lines = [raw[i : i + width + 1] for i in range(0, len(raw), width + 1)]
+    assert all(x[0] == 0 for x in lines)
+    return b"".join(x[1:] for x in lines)
 
 
 # top-k

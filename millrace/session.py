@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """A fresh path below ``spark.checkpoint.dir``; where that is unset, a local folder if the session is local, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/millrace-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -60,7 +60,7 @@ for _n, _k, _f in (
     ("urldecode", STRING, S.urldecode), ("hex_encode", STRING, S.hex_encode), ("hex_decode", BYTES, S.hex_decode), ("strcasecmp", INT, S.strcasecmp), ("utf8_validate", BOOL, S.utf8_validate), ("utf8_sanitize", STRING, S.utf8_sanitize),
     ("isodate", DATETIME, D.isodate), ("format_isodate", STRING, D.format_isodate), ("parse_cef", DICT, T.parse_cef), ("parse_leef", DICT, T.parse_leef), ("parse_xml", DICT, T.parse_xml), ("format_xml", STRING, T.format_xml),
     ("parse_windows_eventlog_xml", DICT, T.parse_windows_eventlog_xml), ("format_windows_eventlog_xml", STRING, lambda m: T.format_xml(m, "Event")), ("keys", LIST, F.map_keys), ("example_echo", STRING, lambda x: x), ("ip", STRING, lambda s: F.when(S.ipv4_to_int(s).isNotNull() | s.contains(":"), s)),
-    ("set_pri", INT, lambda x: F.when(x.between(0, 1023), x)), ("dedup_metrics_labels", DICT, lambda m: dedup_labels(F.map_entries(m))), ("metrics_labels", DICT, lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))),
+    ("dedup_metrics_labels", DICT, lambda m: dedup_labels(F.map_entries(m))), ("metrics_labels", DICT, lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))),
 ):
     simple(_n, _k, _f)
 
@@ -257,8 +257,8 @@ def fix_timezone(t, zone):
 
 @function("set_timezone")
 def set_timezone(t, zone):
-    """The same instant: zones are shown by the offset column."""
-    del zone
+    """The same instant: a datetime has no zone of its own here, so only text can show one; ``format_isodate`` with the zone does."""
+    D.zone_offset(F.lit(0).cast("timestamp"), literal(zone))  # an unknown zone raises
     return wrap(t)
 
 
@@ -339,12 +339,6 @@ def cache_json_file(path, default_value=None):
     return e
 
 
-@function("failure_info_enable", "failure_info_clear", "failure_info_meta")
-def failure_info_control(*_, **__):
-    """Failures are always kept; ``Program.apply(errors_into=...)`` gives them."""
-    return made(F.lit(True), BOOL)
-
-
 @function("otel_logrecord", "otel_resource", "otel_scope", "otel_kvlist")
 def otel_object(x=None):
     """A mapping with the members of the record; encoding to its wire format is a sink's."""

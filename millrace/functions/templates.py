@@ -41,6 +41,8 @@ class Scope:
     #: For aggregating functions: an array of the group's rows, oldest first.
     rows: Column | None = None
     functions: dict[str, Callable] = field(default_factory=dict)
+    #: Templates by name, for ``$(template name)``.
+    templates: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, **extra: Column) -> Scope:
@@ -197,29 +199,11 @@ def render(template: str, scope: Scope) -> Column:
     return F.concat(*pieces) if len(pieces) > 1 else pieces[0] if pieces else F.lit("")
 
 
-_COMPARE = (" === ", " !== ", " == ", " != ", " <= ", " >= ", " < ", " > ", " eq ", " ne ", " lt ", " le ", " gt ", " ge ")
-
-
 def condition(text: str, scope: Scope) -> Column:
-    """A comparison of two templates, quoted or bare; ``and``, ``or``, ``not`` join them."""
-    text = text.strip()
-    while text.startswith("(") and text.endswith(")"):
-        text = text[1:-1].strip()
-    for word, join in ((" or ", typed.disjunction), (" and ", typed.conjunction)):
-        if word in text:
-            return join([condition(t, scope) for t in text.split(word)])
-    t = text.strip()
-    if t.startswith("not "):
-        return ~condition(t[4:], scope)
-    for op in _COMPARE:
-        if op in t:
-            a, b = (x.strip().strip("\"'") for x in t.split(op, 1))
-            x, y = (typed.expr(render(v, scope), typed.STRING) for v in (a, b))
-            if op.strip() in ("<", "<=", ">", ">=", "==", "!="):
-                n, m = typed.parsed_number(x.value), typed.parsed_number(y.value)
-                return F.when(n.isNotNull() & m.isNotNull(), typed._SQL[op.strip()](n, m)).otherwise(typed.compare(x, op.strip(), y).value)
-            return typed.compare(x, op.strip(), y).value
-    return typed.truthy(typed.expr(render(t, scope), typed.STRING))
+    """A condition (:mod:`millrace.functions.conditions`) over the scope."""
+    from millrace.functions.conditions import as_column
+
+    return as_column(text, scope)
 
 
 def _options(args: list[str], *flags: str) -> tuple[dict[str, str], list[str]]:
@@ -251,7 +235,7 @@ class RowScope(Scope):
     """Names from one row struct of a group."""
 
     def __init__(self, row: Column, outer: Scope) -> None:
-        super().__init__(outer.columns, {}, None, outer.functions)
+        super().__init__(outer.columns, {}, None, outer.functions, outer.templates)
         self.row = row
 
     def get(self, name: str, back: int | None = None) -> Column:
@@ -290,11 +274,22 @@ def call(name: str, args: list[str], scope: Scope) -> Column:
         kept = F.filter(scope.rows, lambda row: condition(args[0], RowScope(row, scope)))
         values = F.transform(kept, lambda row: F.concat_ws(",", *[render(a, RowScope(row, scope)) for a in args[1:]]))
         return F.array_join(values, ",") if name == "grep" else S.list_text(values)
+    if name == "template":  # a named template of the scope, or one made on the spot
+        named = scope.templates.get(args[0])
+        return render(named if named is not None else args[0], scope)
+    if name == "getent":
+        from millrace.operators.enrich import lookup
+
+        return lookup(args[0], r(1))
+    if name == "dns-resolve-ip":
+        from millrace.operators.enrich import lookup
+
+        return lookup("hosts", r(0))
     if name == "tag":
         hit = F.array_contains(F.col("tags"), args[0])
         return F.when(hit, r(1) if len(args) > 1 else F.lit("1")).otherwise(r(2) if len(args) > 2 else F.lit("" if len(args) > 1 else "0"))
     if name in ("map", "filter"):
-        inner = lambda x: Scope(scope.columns, scope.extra | {"_": x}, scope.rows, scope.functions)
+        inner = lambda x: Scope(scope.columns, scope.extra | {"_": x}, scope.rows, scope.functions, scope.templates)
         if name == "map":
             return S.list_text(F.transform(listed(1), lambda x: render(args[0], inner(x))))
         return S.list_text(F.filter(listed(1), lambda x: condition(args[0], inner(x))))
@@ -333,12 +328,27 @@ def _folded(template: str, scope: Scope, how: str) -> Column:
 
 def _selected(args: list[str], scope: Scope) -> Column:
     """The pairs that value-pairs options choose: --scope, --key, --exclude, --pair name=template, --rekey prefix handling."""
-    from millrace.operators.rewrites import value_pairs
+    from millrace.operators import rewrites
 
     o: dict[str, list] = {"keys": [], "exclude": [], "pairs": [], "scopes": []}
+    rekeys: list[tuple[str, list]] = []  # the glob of names, and what changes them
     it = iter(args)
     for a in it:
         option, _, value = a.partition("=")
+        if option in ("--rekey", "--key", "-k") and rekeys and option != "--rekey":
+            rekeys.append(("", []))  # a new --key ends the changes
+        if option == "--rekey":
+            rekeys.append((value or next(it, ""), []))
+            o["keys"].append(rekeys[-1][0])
+            continue
+        if option in ("--shift", "--shift-levels", "--add-prefix", "--replace-prefix", "--replace", "--upper", "--lower"):
+            if not rekeys or not rekeys[-1][0]:
+                raise ValueError(f"{option} needs a --rekey before it")
+            value = value or ("" if option in ("--upper", "--lower") else next(it, ""))
+            old, _, new = value.partition("=")
+            changes = {"--shift": lambda v=value: rewrites.shift(int(v)), "--shift-levels": lambda v=value: rewrites.shift_levels(int(v)), "--add-prefix": lambda v=value: rewrites.add_prefix(v), "--upper": lambda: rewrites.upper, "--lower": lambda: rewrites.lower}
+            rekeys[-1][1].append(changes[option]() if option in changes else rewrites.replace_prefix(old, new))
+            continue
         if option in ("--key", "-k", "--exclude", "-x", "--scope", "-s", "--pair", "-p") and not value:
             value = next(it, "")
         if option in ("--key", "-k"):
@@ -353,4 +363,16 @@ def _selected(args: list[str], scope: Scope) -> Column:
         elif not option.startswith("-"):
             k, _, t = a.partition("=")
             o["pairs"].append((k, render(t, scope)))
-    return value_pairs(scope, **o)
+    return rewrites.value_pairs(scope, **o, rekey=tuple(_fitting(glob, tuple(changes)) for glob, changes in rekeys if changes))
+
+
+def _fitting(glob: str, changes: tuple[Callable, ...]) -> Callable:
+    """A change of names that fit a glob."""
+
+    def change(k: Column) -> Column:
+        new = k
+        for f in changes:
+            new = f(new)
+        return F.when(k.rlike(S.glob_to_regex(glob)), new).otherwise(k)
+
+    return change

@@ -11,22 +11,42 @@ from millrace.functions.strings import quoted
 MAP = "map<string,string>"
 
 
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` reads it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _pairs(entries: Column) -> Column:
     """A map of (key, value) structs, a later one of equal key winning."""
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(last)
+
+
+    def made(e: Column) -> Column:
+        keys = F.transform(e, lambda x: x["key"])
+        last = F.filter(e, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(e)).otherwise(F.map_from_entries(last))
+
+    return let(entries, made)
 
 
 def parse_kv(s: Column, value_separator: str = "=", pair_separator: str = ", ", prefix: str = "") -> Column:
     """Pairs by scanning: a bare value runs to the pair separator or, if that holds spaces, to a space before the next key; quoted values may hold either."""
     v, p = quoted(value_separator), quoted(pair_separator.strip() or " ")
     stop = rf"(?:\s*{p}\s*|\s+(?=[\w.\-\[\]]+{v})|\s*$)"
-    pattern = rf"""([\w.\-\[\]]+){v}("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|.*?)(?={stop})"""
-    keys, values = F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.regexp_extract_all(s, F.lit(pattern), F.lit(2))
-    clean = F.transform(values, lambda x: F.when(x.rlike(r"""^(".*"|'.*')$"""), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")).otherwise(x))
-    named = F.transform(keys, lambda k: F.concat(F.lit(prefix), k)) if prefix else keys
-    return _pairs(F.arrays_zip(named.alias("key"), clean.alias("value")))
+    # a bare value ends where a stop begins, which only white space, the separator's first character and the end can do
+    bare = rf"(?:[^\s{quoted((pair_separator.strip() or ' ')[0])}]++|(?!{stop}).)*+"
+    pattern = rf"""[\w.\-\[\]]++{v}(?:"(?:[^"\\]|\\.)*+"(?={stop})|'(?:[^'\\]|\\.)*+'(?={stop})|{bare}(?={stop}))"""
+    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+
+    def pair(text: Column) -> Column:
+        key = F.substring_index(text, value_separator, 1)
+        value = F.substring(text, F.length(key) + len(value_separator) + 1, F.length(text))
+        first = F.substring(value, 1, 1)
+        quotes = first.isin('"', "'") & (F.length(value) > 1) & (F.right(value, F.lit(1)) == first)
+        plain = F.substring(value, F.lit(2), F.length(value) - 2)
+        plain = F.when(plain.contains("\\"), F.regexp_replace(plain, r"\\(.)", "$1")).otherwise(plain)
+        return F.struct((F.concat(F.lit(prefix), key) if prefix else key).alias("key"), F.when(quotes, plain).otherwise(value).alias("value"))
+
+    return _pairs(F.transform(found, pair))
 
 
 def stray_words(s: Column, value_separator: str = "=") -> Column:

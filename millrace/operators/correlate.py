@@ -193,15 +193,50 @@ def iterate(df: DataFrame, keys: list[str], order: list[str], step: Callable[[st
     return ordered_fold(df, keys, order, T.StructType([*df.schema, T.StructField(into, T.StringType())]), fold)
 
 
-#: Lines that go on with a stack trace, by language.
-SMART = r"^\s+\S|^Caused by: |^\s*\.\.\. \d+ (?:more|common frames omitted)|^Traceback \(most recent call last\)|^During handling of the above exception|^The above exception was the direct cause|^[A-Za-z_.]+(?:Error|Exception|Warning|Interrupt|Exit): |^goroutine \d+ \[|^\t.*\.go:\d+|^#\d+ |^---> "
+_ERROR = r"(?:[A-Za-z_$][\w$]*[.\\])*[A-Za-z_$][\w$]*(?:Exception|Error|Throwable|Fault)\b"
+#: Stack traces as state machines: what begins one in no state, and what goes on from a state, with the state that follows (None: the trace ends with that line).
+TRACES: dict[str, list[tuple[str, str | None]]] = {
+    "": [
+        (r"^Traceback \(most recent call last\):$", "py"), (r"^Unhandled exception:$", "dart"), (r"\bPHP (?:Notice|Warning|Parse error|Fatal error):", "php"), (r"^panic: |\bpanic: ", "go-panic"), (r"http: panic serving ", "go"),
+        (rf"^\S*{_ERROR} \(.*\):$", "ruby"), (rf"(?:^|\s){_ERROR}(?::|$|\s*$)", "java"),
+    ],
+    "java": [(r"^\s+(?:eval )?at\s", "java"), (r"^\s*\.{3} \d+ ", "java"), (r"^\s*(?:Caused by|Suppressed|Wrapped by): ", "java"), (r"^\s*-{3,} ", "java"), (r"^\s*nested exception is", "java"), (rf"^\s+{_ERROR}", "java")],
+    "py": [(r"^\s+File ", "py-code"), (r"^\s+\S", "py"), (r"^(?:[^\s.():]+\.)*[^\s.():]+(?::|$)", "py-end")],
+    "py-code": [(r"^\s+File ", "py-code"), (r"\S", "py")],
+    "py-end": [(r"^$", "py-next"), (r"^(?:During handling of the above|The above exception was the direct)", "py-next")],
+    "py-next": [(r"^$", "py-next"), (r"^(?:During handling of the above|The above exception was the direct)", "py-next"), (r"^Traceback \(most recent call last\):$", "py")],
+    "php": [(r"^(?:PHP )?Stack trace:$", "php"), (r"^(?:PHP\s+)?#?\d+[.: ]", "php"), (r"^\s+thrown in ", None)],
+    "go-panic": [(r"^\[signal ", "go-panic"), (r"^\s+panic: ", "go-panic"), (r"^$", "go"), (r"^goroutine \d+ \[", "go-frame")],
+    "go": [(r"^$", "go"), (r"^goroutine \d+ \[", "go-frame"), (r"^\S+\(.*\)$", "go-place")],
+    "go-frame": [(r"^(?:created by )?\S+(?:\(.*\)|\.\S+)", "go-place"), (r"^$", "go")],
+    "go-place": [(r"^\s", "go-frame")],
+    "ruby": [(r"^\s*$", "ruby"), (r"^\s+.*\.rb:\d+:in ", "ruby"), (r"^\s+\S+:\d+:in ", "ruby"), (r"^\s+\d+: ", "ruby")],
+    "dart": [(r"^#\d+\s", "dart-stack"), (r"^<asynchronous suspension>$", "dart-stack"), (r"^.+$", "dart")],
+    "dart-stack": [(r"^#\d+\s", "dart-stack"), (r"^<asynchronous suspension>$", "dart-stack")],
+}
+
+
+def smart_records(lines: Iterator[str]) -> Iterator[bool]:
+    """Whether each line begins a record: stack traces go on by :data:`TRACES`, any other line stands alone."""
+    import re
+
+    rules = {state: [(re.compile(rx), to) for rx, to in steps] for state, steps in TRACES.items()}
+    state: str | None = ""
+    for line in lines:
+        step = next((to for rx, to in rules[state] if rx.search(line)), "no") if state else "no"
+        begins = step == "no"
+        if begins:
+            step = next((to for rx, to in rules[""] if rx.search(line)), "")
+        state = step or ""
+        yield begins
 
 
 def group_lines(df: DataFrame, key: list[str], order: list[str], mode: str = "indented", prefix: str | None = None, suffix: str | None = None, line: str = "line", separator: str = "\n", timeout: int | None = None, ts: str | None = None) -> DataFrame:
     """Physical lines to records: key, first order value, n_lines, message.
 
     ``indented``: a line that begins with white space goes on; ``regexp``: ``prefix`` begins a record; ``prefix-suffix``: one
-    also ends after ``suffix``; ``smart``: lines of stack traces go on. A running count of beginnings numbers the records.
+    also ends after ``suffix``; ``smart``: stack traces of Python, Java, JavaScript, PHP, Go,
+    Ruby and Dart are one record each. A running count of beginnings numbers the records.
     """
     c = F.col(line)
     w = W.partitionBy(*key).orderBy(*order)
@@ -213,8 +248,16 @@ def group_lines(df: DataFrame, key: list[str], order: list[str], mode: str = "in
     elif mode == "prefix-suffix":
         begins = c.rlike(prefix) | F.coalesce(before.rlike(suffix), F.lit(False))
     elif mode == "smart":
-        trace = r"^Traceback \(most recent call last\)"
-        begins = ~c.rlike(SMART) | (c.rlike(trace) & ~F.coalesce(before.rlike(SMART), F.lit(False)) & before.isNull())
+        own = T.StructType([*df.schema, T.StructField("__smart", T.BooleanType())])
+
+        def fold(rows: Iterator[dict]) -> Iterator[dict]:
+            from itertools import tee
+
+            mine, text = tee(rows)
+            for r, new in zip(mine, smart_records(x[line] or "" for x in text)):
+                yield r | {"__smart": new}
+
+        df, begins = ordered_fold(df, key, order, own, fold), F.col("__smart")
     else:
         begins = F.lit(True)
     if timeout is not None:

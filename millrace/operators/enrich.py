@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import glob_to_regex, ipv4_to_int
@@ -46,20 +47,32 @@ def filter_selector(filters: list[tuple[Column, str]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for c, k in filters], F.lit(None).cast("string"))
 
 
-def ip_range_join(df: DataFrame, ip: Column, ranges: DataFrame, columns: list[str], bits: int = 16) -> DataFrame:
-    """The innermost of IPv4 ranges (start, end; inclusive) that holds an address, left join.
+def disjoint(ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """Ranges that may overlap or nest, as ranges that don't: each keeps what the innermost (shortest, then first) of those over it holds.
 
-    Ranges are cut into the blocks of 2**(32 - bits) addresses that they touch, so the join is an equality on the block and
-    a test within; the narrowest range wins.
+    Borders cut the line into pieces; a piece takes the shortest range that covers it. Ranges meet pieces by the same bins of
+    the address that :func:`ip_range_join` uses, so no range meets every piece.
     """
-    width = 2 ** (32 - bits)
-    cut = ranges.select(F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("__block"), F.col("start").alias("__start"), F.col("end").alias("__end"), F.struct(*columns).alias("__found"))
-    d = df.withColumn("__ip", ipv4_to_int(ip)).withColumn("__row", F.monotonically_increasing_id()).withColumn("__block", F.floor(F.col("__ip") / width))
-    j = d.join(small(cut), (d["__block"] == cut["__block"]) & d["__ip"].between(cut["__start"], cut["__end"]), "left").drop(cut["__block"])
-    # overlapping ranges are told apart within a row
-    own = [c for c in df.columns]
-    best = j.groupBy("__row").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in own], F.min_by("__found", F.col("__end") - F.col("__start")).alias("__found"))
-    return best.select(*[f"`{c}`" for c in own], *[F.col("__found")[c].alias(c) for c in columns])
+    borders = ranges.select(F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("start")).distinct()
+    bin_ = F.shiftright("start", 16)
+    pieces = borders.withColumn("bin", bin_).union(ranges.select(F.explode(F.sequence(F.shiftright("start", 16), F.shiftright("end", 16))).alias("bin")).distinct().select(F.shiftleft("bin", 16).cast("bigint").alias("start"), "bin")).distinct()
+    pieces = pieces.withColumn("end", F.lead("start").over(W.partitionBy("bin").orderBy("start")) - 1).withColumn("end", F.coalesce("end", F.shiftleft(F.col("bin") + 1, 16).cast("bigint") - 1))
+    r = ranges.select(F.struct(*columns).alias("found"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.shiftright("start", 16), F.shiftright("end", 16))).alias("bin"))
+    j = pieces.join(r, "bin").where((F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")))
+    best = j.groupBy("bin", "start", "end").agg(F.min_by("found", F.struct((F.col("e") - F.col("s")).alias("n"), "s")).alias("found"))
+    return best.select("bin", "start", "end", "found")
+
+
+def ip_range_join(df: DataFrame, ip: Column, ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """IPv4 range lookup, innermost range first: ``ranges`` has start and end as whole numbers and the columns to add (null without a range).
+
+    The ranges are made disjoint first, so a row meets one piece at most and the rows are not regrouped: pieces of a checked
+    number are broadcast, more are joined on the upper 16 bits of the address.
+    """
+    pieces = small(disjoint(ranges, columns).select(F.col("bin").alias("__bin"), F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("found").alias("__found")))
+    d = df.withColumn("__ip", ipv4_to_int(ip)).withColumn("__own", F.shiftright("__ip", 16))
+    j = d.join(pieces, (F.col("__own") == F.col("__bin")) & F.col("__ip").between(F.col("__start"), F.col("__end")), "left")
+    return j.select(*[d[f"`{c}`"] for c in df.columns], *[F.col("__found")[c].alias(c) for c in columns])
 
 
 def cached_json(spark, path: str) -> Column:

@@ -69,3 +69,9 @@ def message_statistics(df: DataFrame) -> DataFrame:
     """Counts by host, program and severity in one pass over the rows."""
     e = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("key")) for d, c in (("host", F.col("host")), ("program", F.col("program")), ("severity", F.col("pri") % 8))])).alias("s"))
     return e.groupBy("s.dimension", "s.key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(df: DataFrame, column: str) -> DataFrame:
+    """Counters of what a program's update_metric() statements left in ``column``: name, labels, value."""
+    m = df.select(F.explode(column).alias("m")).select("m.*").withColumn("entries", F.array_sort(F.map_entries("labels")))
+    return m.groupBy("name", "entries").agg(F.sum("value").alias("value")).select("name", F.map_from_entries("entries").alias("labels"), "value")

@@ -24,6 +24,11 @@ def to_events(df: DataFrame, keep: tuple[str, ...] = (), **columns: Column) -> D
     return df.select(*out, *[F.col(f"`{k}`") for k in keep])
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row, however many fields are read of them later: a projection of their parts isn't merged into them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_nv(df: DataFrame, pairs: Column, types: Column | None = None) -> DataFrame:
     """Sets name-value pairs; a later one wins."""
     from millrace.functions.typed import merged

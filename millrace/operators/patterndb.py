@@ -197,16 +197,12 @@ def actions(df: DataFrame, rules: list[Rule], tie: tuple[str, ...] = ()) -> Data
     key = F.coalesce(*[F.when(rule == r.rule_id, F.concat_ws("|", F.lit(r.context_scope), *[F.coalesce(c, F.lit("")) for c in SCOPES[r.context_scope]], render(r.context_id or "", scope))) for r in by_id.values()], F.lit(""))
     out = T.StructType([T.StructField("stamp", T.TimestampType()), T.StructField("rule_id", T.StringType()), T.StructField("trigger", T.StringType()), T.StructField("context_key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("values", T.MapType(T.StringType(), T.StringType()))])
 
+    from millrace.functions.conditions import holds, parse
+
+    parsed = {a.condition: parse(a.condition) for r in by_id.values() for a in r.actions if a.condition}
+
     def passes(condition: str, rows: list[dict]) -> bool:
-        m = re.match(r"""^\s*"?(.*?)"?\s*(==|!=|>=|<=|>|<)\s*"?(.*?)"?\s*$""", condition)
-        if not condition or not m:
-            return True
-        a, b = _text(m[1], rows), _text(m[3], rows)
-        try:
-            x, y = float(a), float(b)
-        except ValueError:
-            x, y = a, b
-        return {"==": x == y, "!=": x != y, ">=": x >= y, "<=": x <= y, ">": x > y, "<": x < y}[m[2]]
+        return not condition or holds(parsed[condition], lambda t: _text(t, rows), rows[-1])
 
     def fold(rows: Iterator[dict]) -> Iterator[dict]:
         context: list[dict] = []

@@ -122,7 +122,7 @@ def guess_time_zone(df: DataFrame, stamp: str = "stamp", received: str = "recvd"
     return df.withColumn("tz_offset", (F.col("tz_offset") - (F.unix_micros(moved) - F.unix_micros(stamp)) / 1000000).cast("int")).withColumn(stamp, moved)
 
 
-_CARD = r"(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|6(?:011|5[0-9]{2})[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|(?:2131|1800|35[0-9]{3})[0-9]{11})"
+_CARD = r"(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2(?:2(?:2[1-9]|[3-9][0-9])|[3-6][0-9]{2}|7(?:[01][0-9]|20))[0-9]{12}|6(?:011|5[0-9]{2})[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|(?:2131|1800|35[0-9]{3})[0-9]{11})"
 
 
 def credit_card_mask(s: Column, mask: str = "*") -> Column:

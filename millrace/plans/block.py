@@ -29,6 +29,8 @@ class Block:
         self.values: dict[str, Expr] = {}
         self.alive: Column = F.lit(True)  # rows that haven't failed
         self.running: Column = F.lit(True)  # and haven't ended by ``done``
+        #: Text that failures from here on carry.
+        self.note = ""
         self.errors: list[tuple[Column, str]] = []
         self.declared: set[str] = set()
         self.temporary: list[str] = []
@@ -69,7 +71,7 @@ class Block:
     def fail(self, ok: Column, what: str) -> None:
         """Rows that are running and for which ``ok`` doesn't hold fail."""
         (bad,) = self.keep(self.running & ~F.coalesce(ok, F.lit(False)))
-        self.errors.append((self.alive & bad, what))
+        self.errors.append((self.alive & bad, what + self.note))
         (self.alive,) = self.keep(self.alive & ~bad)
 
     def put(self, name: str, value: Column, kind: str, ok: Column) -> None:

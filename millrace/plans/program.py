@@ -14,6 +14,7 @@ access by ``.name`` and ``[...]``.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from millrace.functions import typed
 from millrace.functions.registry import FUNCTIONS
 from millrace.functions.strings import in_subnet, java_regex
 from millrace.functions.templates import CORE, Scope, render
-from millrace.functions.typed import BOOL, DICT, LIST, NULL, STRING, Expr, wrap
+from millrace.functions.typed import BOOL, DATETIME, DICT, INT, LIST, NULL, STRING, Expr, wrap
 from millrace.operators.rewrites import put
 from millrace.plans.block import Block
 
@@ -285,17 +286,24 @@ class Program:
 
     # compiling
 
-    def apply(self, df: DataFrame, errors_into: str | None = None) -> DataFrame:
-        """The rows that the program keeps, with fields set and declared variables as columns."""
+    def apply(self, df: DataFrame, errors_into: str | None = None, metrics_into: str | None = None) -> DataFrame:
+        """The rows that the program keeps, with fields set and declared variables as columns.
+
+        ``metrics_into`` names a column of what update_metric() counted in the row: array<struct<name,labels,value>>, of which
+        :func:`millrace.operators.metrics.counted` makes counters. A program that counts needs it.
+        """
         run = _Run(df)
         run.statements(self.body)
-        return run.finish(errors_into)
+        if run.metrics and not metrics_into:
+            raise ValueError("update_metric() counts into a column: apply(metrics_into=...)")
+        return run.finish(errors_into, metrics_into)
 
 
 class _Run:
     def __init__(self, df: DataFrame) -> None:
         self.df = df
         self.block = Block(df)
+        self.metrics: list = []
 
     def _name(self, target) -> str:
         return "$" + target[1] if target[0] == "field" else target[1]
@@ -419,13 +427,60 @@ class _Run:
             self.unset(args[0])
             return e
         if name == "update_metric":
-            return literal(True)  # a side effect: count with millrace.operators.metrics over the result
+            return self._metric(*[self.eval(a) for a in args], **{k: self.eval(v) for k, v in options.items()})
+        if name == "set_pri":
+            value = self.eval(args[0] if args else options["pri"])
+            pri = value.value.try_cast("int")
+            ok = F.coalesce(value.ok & pri.between(0, 1023), F.lit(False))
+            self.store(("field", "pri"), Expr(F.when(ok, pri), INT, ok))
+            return Expr(F.lit(True), BOOL, ok)
+        if name == "set_timestamp":
+            value = self.eval(args[0])
+            which = getattr(self.eval(args[1]), "literal", None) if len(args) > 1 else getattr(self.eval(options["stamp"]), "literal", None) if "stamp" in options else "stamp"
+            if which not in ("stamp", "recvd") or value.kind != DATETIME:
+                raise ValueError("set_timestamp() takes a datetime and \"stamp\" or \"recvd\"")
+            self.store(("field", which), value)
+            return Expr(F.lit(True), BOOL, value.ok)
+        if name == "load_vars":
+            value = self.eval(args[0])
+            names = [x.literal if hasattr(x, "literal") else None for x in (self.eval(a) for a in args[1:])]
+            if value.kind != DICT or None in names or not names:
+                raise ValueError("load_vars(dict, name, ...) names its variables: columns are fixed when the plan is built")
+            for n in names:
+                self.block.declared.add(n)
+                self.store(("var", n), typed.element(value, literal(n)))
+            return Expr(F.lit(True), BOOL, value.ok)
+        if name == "failure_info_enable":  # failures of a row are always kept
+            return literal(True)
+        if name == "failure_info_clear":
+            active = self.block.active()
+            self.block.errors[:] = [(bad & ~active, what) for bad, what in self.block.errors]
+            return literal(True)
+        if name == "failure_info_meta":
+            if args[0][0] != "dict" or any(v[0] != "lit" for _, v, _ in args[0][1]):
+                raise ValueError("failure_info_meta() takes a literal dict")
+            self.block.note = " " + json.dumps({k[1]: v[1] for k, v, _ in args[0][1]})
+            return literal(True)
+        if name == "failure_info":
+            return Expr(self.block.failures(), LIST, F.lit(True))
         if name == "vars":
             return Expr(F.create_map(*[x for n, e in self.block.values.items() if n[0] != "$" for x in (F.lit(n), e.value.cast("string"))]), DICT, F.lit(True))
         if name not in FUNCTIONS:
             raise NameError(f"no function {name}")
         return FUNCTIONS[name](*[self.eval(a) for a in args], **{k: self.eval(v) for k, v in options.items()})
 
+    def _metric(self, key: Expr, labels: Expr | None = None, increment: Expr | None = None) -> Expr:
+        """Counts where the statement is reached; ``apply(metrics_into=...)`` gives the counts of a row."""
+        if not hasattr(key, "literal"):
+            raise ValueError("the key of a metric is a literal")
+        step = increment if increment is not None else literal(1)
+        none = F.create_map().cast("map<string,string>")
+        entry = F.struct(F.lit(key.literal).alias("name"), (labels.value if labels is not None else none).alias("labels"), F.coalesce(step.value.try_cast("bigint"), F.lit(0)).alias("value"))
+        ok = F.coalesce(step.ok & (labels.ok if labels is not None else F.lit(True)), F.lit(False))
+        hit, entry = self.block.keep(self.block.active() & ok, entry)
+        self.metrics.append(F.when(hit, entry))
+        return Expr(F.lit(True), BOOL, ok)
+
     def unset(self, target) -> None:
         if target[0] in ("attr", "index"):
             base = self.eval(target[1])
@@ -528,9 +583,12 @@ class _Run:
 
         chain([(h, b) for h, b in zip(hits, bodies) if h is not None])
 
-    def finish(self, errors_into: str | None) -> DataFrame:
+    def finish(self, errors_into: str | None, metrics_into: str | None = None) -> DataFrame:
         b = self.block
         d = b.staged(errors_into is not None)
+        if metrics_into:
+            kind = "array<struct<name:string,labels:map<string,string>,value:bigint>>"
+            d = d.withColumn(metrics_into, F.array_compact(F.array(*self.metrics)).cast(kind) if self.metrics else F.array().cast(kind))
         d = d.withColumn(errors_into, b.failures()) if errors_into else d
         variables = {n: F.when(e.ok, e.value) for n, e in b.values.items() if n[0] != "$" and (n in b.declared or n in self.df.columns)}
         d = d.withColumns(variables) if variables else d

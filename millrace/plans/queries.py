@@ -14,7 +14,7 @@ from millrace.functions import text_formats as T
 from millrace.functions import typed
 from millrace.functions.templates import Scope, render
 from millrace.operators import branch, correlate, enrich, filters, metrics, parsers, patternize, rewrites
-from millrace.operators.model import to_events
+from millrace.operators.model import computed, to_events
 from millrace.plans.block import Block
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,10 +281,10 @@ def json_fields(spark, sf_dir):
     return d.select("event_id", F.col("nv")["k"].try_cast("bigint").alias("k")).where("k > 50")
 
 
-@query("SELECT o_orderkey, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) AS total, 'order no ' || o_orderkey AS note FROM orders")
+@query("SELECT o_orderkey, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, 'order no ' || o_orderkey AS note FROM orders")
 def parse_kv(spark, sf_dir):
-    line = F.concat(F.lit("status="), F.col("o_orderstatus"), F.lit(" total="), F.col("o_totalprice").cast("string"), F.lit(' note="order no '), F.col("o_orderkey"), F.lit('"'))
-    o = table(spark, sf_dir, "orders").where("abs(o_totalprice) < 1e7").select("o_orderkey", T.parse_kv(line, "=", " ").alias("m"))
+    line = F.concat(F.lit("status="), F.col("o_orderstatus"), F.lit(" total="), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(' note="order no '), F.col("o_orderkey"), F.lit('"'))
+    o = computed(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), m=T.parse_kv(F.col("line"), "=", " "))
     return o.select("o_orderkey", *[F.col("m")[k].alias(k) for k in ("status", "total", "note")])
 
 

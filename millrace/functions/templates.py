@@ -314,8 +314,10 @@ def call(name: str, args: list[str], scope: Scope) -> Column:
         o, rest = _options(args)
         return dates.stardate(F.timestamp_seconds(render(rest[0], scope).try_cast("bigint")), int(o.get("digits", 2)))
     if name == "graphite-output":
-        o, rest = _options(args)
-        m, stamp = _selected([a for a in rest], scope), render(o.get("timestamp", "$R_UNIXTIME"), scope)
+        at = next((i for i, a in enumerate(args) if a.partition("=")[0] == "--timestamp"), None)
+        cut = 0 if at is None else 1 if "=" in args[at] else 2
+        stamp = render("$R_UNIXTIME" if at is None else args[at].partition("=")[2] or args[at + 1], scope)
+        m = _selected(args if at is None else args[:at] + args[at + cut :], scope)
         return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(" "), e["value"], F.lit(" "), stamp, F.lit("\n"))), "")
     raise ValueError(f"unknown template function {name}")
 

@@ -6,17 +6,22 @@ keys: for each piece of a pattern, literals before tokens. Contexts and actions
 
 from __future__ import annotations
 
+import pickle
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.strings import java_regex, quoted
 from millrace.operators.correlate import SCOPES, ordered_fold
+from millrace.session import ship
 
 _IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 _IPV6 = r"(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|(?:\d{1,3}\.){3}\d{1,3})?"
@@ -51,10 +56,10 @@ def pieces(pattern: str) -> list[tuple]:
 
 def compile_pattern(pattern: str) -> tuple[str, list[str], tuple]:
     """An anchored regex, the names of its groups, and the pattern's rank (less is first)."""
-    regex, names, rank = "^", [], []
+    rx, names, rank = "^", [], []
     for p in pieces(pattern):
         if p[0] == "lit":
-            regex += quoted(p[1])
+            rx += quoted(p[1])
             rank += [(0, c) for c in p[1]]
             continue
         _, kind, name, arg = p
@@ -64,7 +69,7 @@ def compile_pattern(pattern: str) -> tuple[str, list[str], tuple]:
             r = f"(?:(?!{quoted(arg)})(?s:.))*" if arg else "(?s:.*)"
         elif kind == "QSTRING":
             a, z = (arg[0], arg[-1]) if arg else ('"', '"')
-            regex += f"{quoted(a)}([^{quoted(z)}]*){quoted(z)}"
+            rx += f"{quoted(a)}([^{quoted(z)}]*){quoted(z)}"
             names.append(name)
             rank.append((1, kind))
             continue
@@ -78,11 +83,11 @@ def compile_pattern(pattern: str) -> tuple[str, list[str], tuple]:
             r = r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})" + (f"{{0,{int(arg) - 1}}}" if arg else "{0,19}")
         else:
             r = TOKENS[kind]
-        regex += f"({r})" + (quoted(arg) if kind == "ESTRING" else "")
+        rx += f"({r})" + (quoted(arg) if kind == "ESTRING" else "")
         names.append(name)
         rank.append((3 if kind == "ANYSTRING" else 2 if kind in ("STRING", "ESTRING") else 1, kind))
     # all that a pattern doesn't end with an any-token must be a whole match of its prefix; the rest of the text may follow
-    return regex + "$" if not regex.endswith("(?s:.*))") else regex, names, (tuple(rank), )
+    return rx + "$" if not rx.endswith("(?s:.*))") else rx, names, (tuple(rank), )
 
 
 @dataclass
@@ -132,32 +137,83 @@ def ordered(rules: list[Rule]) -> list[tuple[Rule, str, list[str]]]:
     """Every pattern of every rule as (rule, regex, group names), the most specific first."""
     made = [(compile_pattern(p), r) for r in rules for p in r.patterns]
     made.sort(key=lambda x: x[0][2])
-    return [(r, regex, names) for (regex, names, _), r in made]
+    return [(r, rx, names) for (rx, names, _), r in made]
+
+
+class Lookup:
+    """Patterns by the literal that they begin with."""
+
+    def __init__(self, rules: list[Rule], prefix: str = "") -> None:
+        self.prefix = prefix
+        self.by_literal: dict[str, list[tuple]] = {}
+        for n, (rule, pattern, names) in enumerate(ordered(rules)):
+            programs = frozenset(p for p in rule.programs if "@" not in p)
+            wide = [regex.compile(compile_pattern(p)[0], regex.ASCII) for p in rule.programs if "@" in p]
+            entry = (n, regex.compile(pattern, regex.ASCII), names, rule, programs, wide)
+            self.by_literal.setdefault(_beginning(pattern), []).append(entry)
+        self.lengths = sorted({len(x) for x in self.by_literal})
+
+    def first(self, text: str | None, program: str | None) -> tuple[dict[str, str], list[str]] | None:
+        """The fields and tags of the first pattern that fits."""
+        if text is None:
+            return None
+        near = [e for n in self.lengths if n <= len(text) for e in self.by_literal.get(text[:n], ())]
+        for _, pattern, names, rule, programs, wide in sorted(near, key=lambda e: e[0]):
+            if rule.programs and program not in programs and not any(w.search(program or "") for w in wide):
+                continue
+            m = pattern.search(text)
+            if m is None:
+                continue
+            pairs = {".classifier.class": rule.class_, ".classifier.rule_id": rule.rule_id}
+            own: dict[str, str] = {}
+            for i, n in enumerate(names):
+                if n and n not in own:
+                    own[n] = m[i + 1] or ""
+            pairs |= {self.prefix + n: v for n, v in own.items()}
+            pairs |= {self.prefix + k: v for k, v in rule.values.items() if self.prefix + k not in own}
+            return pairs, [*rule.tags, f".classifier.{rule.class_}"]
+        return None
+
+
+def _beginning(pattern: str) -> str:
+    """The literal text that every match of an anchored regex of :func:`compile_pattern` begins with."""
+    out, i = "", 1
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+            out, i = out + pattern[i + 1], i + 2
+        elif c in "([$.*+?{|\\":
+            return out[:-1] if c in "*+?{" else out
+        else:
+            out, i = out + c, i + 1
+    return out
+
+
+@lru_cache(maxsize=4)
+def _lookup(sent: bytes) -> Lookup:
+    return Lookup(*pickle.loads(sent))
 
 
 def db_parser(df: DataFrame, rules: list[Rule], message: Column | None = None, program: Column | None = None, prefix: str = "", drop_unmatched: bool = False) -> DataFrame:
-    """Sets .classifier.class, .classifier.rule_id, the tokens and the rule's values, and its tags. The rule set is configuration: it compiles to one chain of tests in generated code."""
-    m = F.col("message") if message is None else message
-    p = F.col("program") if program is None else program
-    chain = []
-    for r, regex, names in ordered(rules):
-        test = m.rlike(regex)
-        if r.programs:
-            programs = F.lit(False)
-            for x in r.programs:
-                programs = programs | (p.rlike(compile_pattern(x)[0]) if "@" in x else p == x)
-            test = programs & test
-        pairs = [F.lit(".classifier.class"), F.lit(r.class_), F.lit(".classifier.rule_id"), F.lit(r.rule_id)]
-        seen = set()
-        for i, n in enumerate(names):
-            if n and n not in seen:
-                seen.add(n)
-                pairs += [F.lit(prefix + n), F.regexp_extract(m, regex, i + 1)]
-        for k, v in r.values.items():
-            if prefix + k not in seen:
-                pairs += [F.lit(prefix + k), F.lit(v)]
-        chain.append(F.when(F.coalesce(test, F.lit(False)), F.struct(F.create_map(*pairs).alias("pairs"), F.array(*[F.lit(t) for t in (*r.tags, f".classifier.{r.class_}")]).alias("tags"))))
-    d = df.withColumn("__rule", F.coalesce(*chain))
+    """Sets .classifier.class, .classifier.rule_id, the tokens and the rule's values, and its tags.
+
+    The rule set is configuration and travels with the plan. A message is looked up by the literal that a pattern begins
+    with, so it meets the few patterns that share its beginning, whatever the number of rules; of these the first that
+    matches, in the order of :func:`ordered`, counts. Arrow batches.
+    """
+    ship(df.sparkSession)
+    lookup = Lookup(rules, prefix)
+    sent = pickle.dumps((rules, prefix))
+
+    @F.pandas_udf("pairs map<string,string>, tags array<string>")
+    def classify(text: pd.Series, name: pd.Series) -> pd.DataFrame:
+        found = _lookup(sent)
+        got = [found.first(t, n) for t, n in zip(text, name)]
+        return pd.DataFrame({"pairs": [g and g[0] for g in got], "tags": [g and g[1] for g in got]})
+
+    del lookup  # made once here, so that a pattern that can't be compiled is refused when the plan is built
+    d = df.withColumn("__found", classify(F.col("message") if message is None else message, F.col("program") if program is None else program))
+    d = d.withColumn("__rule", F.when(F.col("__found.pairs").isNotNull(), F.col("__found"))).drop("__found")
     if drop_unmatched:
         d = d.where("__rule IS NOT NULL")
     unknown = F.create_map(F.lit(".classifier.class"), F.lit("unknown"))

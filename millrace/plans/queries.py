@@ -496,3 +496,6 @@ def enriched_counters(spark, sf_dir):
     n = enrich.small(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
     g = c.join(n, "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("c_acctbal")).alias("total"), F.min("c_custkey").alias("first_key"))
     return g.where("n > 1")
+
+
+from millrace.plans import group_queries  # noqa: E402, F401  registers its queries here

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.functions.templates import Scope, render
 from millrace.operators.model import to_events
 
 
@@ -48,8 +49,10 @@ def generator(spark: SparkSession, num: int | None = None, freq: int = 1, templa
     nv = F.create_map(*[x for k, v in (values or {}).items() for x in (F.lit(k), F.lit(v))]) if values else F.create_map().cast("map<string,string>")
     if num is None:
         d = spark.readStream.format("rate").option("rowsPerSecond", freq).load()
-        return to_events(d, stamp=F.col("timestamp"), message=F.lit(template), source=F.lit("generator"), nv=nv)
-    return to_events(spark.range(num), stamp=F.current_timestamp(), message=F.lit(template), source=F.lit("generator"), nv=nv)
+        d = to_events(d, stamp=F.col("timestamp"), source=F.lit("generator"), nv=nv)
+        return d.withColumn("message", render(template, Scope.of(d)))
+    d = to_events(spark.range(num), stamp=F.current_timestamp(), source=F.lit("generator"), nv=nv)
+    return d.withColumn("message", render(template, Scope.of(d)))
 
 
 def random_choice(spark: SparkSession, num: int, choices: list[str], seed: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from millrace.plans.program import Program
 from millrace.plans.queries import QUERIES, SQL, events, query, table
 from millrace.session import shared_dir
 from millrace.sources import readers, writers
+from millrace.streaming import grouping
 
 
 
@@ -619,4 +620,207 @@ def smart_lines(spark, sf_dir):
     return correlate.group_lines(o, ["o_orderkey"], ["pos"], "smart").select("o_orderkey", "n_lines")
 
 
+
+# streams
+
+
+def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    d = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return d.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+@query("""
+WITH e AS (SELECT *, date_trunc('second', ts) AS s FROM events), top AS (SELECT max(s) AS m FROM e),
+g AS (SELECT *, CASE WHEN epoch(s) - epoch(lag(s) OVER w) <= 1800 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id) AS grp FROM g)
+SELECT user_id, min(s) AS session_start, max(s) AS session_end, count(*) AS n FROM n, top GROUP BY user_id, grp, m HAVING max(s) + INTERVAL 1800 SECOND <= m - INTERVAL 10 MINUTE
+""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of a stream under a watermark, each given when the watermark has passed its end."""
+    s = grouping.sessions(stream_of(spark, sf_dir, "events"), ["user_id"], 1800, {"n": F.count(F.lit(1))}, ts="ts")
+    return grouping.written(s)
+
+
+@query("""
+SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS value FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL
+""")
+def stream_counters(spark, sf_dir):
+    """Tumbling windows of a stream, given when they are closed."""
+    return grouping.written(grouping.counters(stream_of(spark, sf_dir, "events"), ["event_type"], "ts", "1 hour"))
+
+
+@query("SELECT event_type, CAST(floor(epoch(date_trunc('second', ts))) AS BIGINT) AS second, least(count(*), 3) AS n FROM events GROUP BY ALL")
+def stream_rate_limit(spark, sf_dir):
+    """The token bucket in keyed state."""
+    e = stream_of(spark, sf_dir, "events").select("event_id", "event_type", F.date_trunc("second", "ts").alias("ts"))
+    kept = grouping.written(grouping.rate_limited(e, ["event_type"], 3, "ts"))
+    return kept.groupBy("event_type", F.unix_timestamp("ts").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# groups, actions, order
+
+
+@query("""
+WITH e AS (SELECT *, date_trunc('second', ts) AS s FROM events),
+g AS (SELECT *, CASE WHEN epoch(s) - epoch(lag(s) OVER w) <= 3600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM g)
+SELECT 'u' || user_id AS host, max(ts) AS stamp, CAST(sum(event_id) AS VARCHAR) AS total, CAST(min(event_id) AS VARCHAR) AS least, CAST(max(event_id) AS VARCHAR) AS most, CAST(sum(event_id) // count(*) AS VARCHAR) AS mean,
+       coalesce(string_agg(CASE WHEN event_type = 'click' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY ts, event_id), '') AS clicks
+FROM n GROUP BY user_id, grp
+""")
+def group_numbers(spark, sf_dir):
+    """sum, min, max, average and context-lookup over a group."""
+    values = {"total": "$(sum $PID)", "least": "$(min $PID)", "most": "$(max $PID)", "mean": "$(average $PID)", "clicks": '$(context-lookup ("$PROGRAM" eq "click") $PID)'}
+    g = correlate.grouping_by(events(spark, sf_dir), ["source"], 3600, values, scope="host")
+    return g.select("host", "stamp", *[F.col("nv")[k].alias(k) for k in values])
+
+
+@query("SELECT c_custkey, c_custkey // 2 AS low FROM customer WHERE c_custkey > 50 AND c_mktsegment LIKE 'M%'")
+def rule_actions(spark, sf_dir):
+    """Messages that a rule's action makes, under a condition with a comparison and a filter call."""
+    from millrace.operators.patterndb import Action, Rule, actions, db_parser
+
+    rule = Rule("seen", ["customer @NUMBER:key@ in @ESTRING:seg:.@@NUMBER:half@"], "system", ("app",), context_id="$key", actions=[Action("match", '"${key}" > 50 and match("^M" value("seg"))', None, {"who": "${key}", "half": "${half}"})])
+    line = F.concat(F.lit("customer "), F.col("c_custkey"), F.lit(" in "), F.col("c_mktsegment"), F.lit("."), F.floor(F.col("c_custkey") / 2))
+    made = actions(db_parser(customers(spark, sf_dir, message=line, program=F.lit("app")), [rule]), [rule])
+    return made.select(F.col("values")["who"].cast("bigint").alias("c_custkey"), F.col("values")["half"].cast("bigint").alias("low"))
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR) AS iterated FROM events")
+def iterate_values(spark, sf_dir):
+    """Each row gets what the row before made of its own value."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return correlate.iterate(e, ["user_id"], ["ts", "event_id"], lambda x: str(int(x) + 1), "1").select("user_id", "event_id", "iterated")
+
+
+@query("""
+SELECT o_orderkey, CAST(1 AS INTEGER) AS n_indented, 'head' || chr(10) || '  body' AS one, 'begin' || chr(10) || 'x' || chr(10) || 'end' AS two FROM orders
+""")
+def multi_line_modes(spark, sf_dir):
+    """Indented lines, and records between a prefix and a suffix."""
+    o = table(spark, sf_dir, "orders")
+    lines = lambda *x: o.select("o_orderkey", F.posexplode(F.array(*map(F.lit, x))).alias("pos", "line"))
+    a = correlate.group_lines(lines("head", "  body"), ["o_orderkey"], ["pos"], "indented").select("o_orderkey", (F.col("n_lines") - 1).alias("n_indented"), F.col("message").alias("one"))
+    b = correlate.group_lines(lines("begin", "x", "end", "stray"), ["o_orderkey"], ["pos"], "prefix-suffix", prefix="^begin", suffix="^end").where("pos = 0").select("o_orderkey", F.col("message").alias("two"))
+    return a.join(b, "o_orderkey")
+
+
+# the rest of the functions
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS has, c_custkey % 2 = 0 AS enterprise, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS seg FROM customer")
+def structured_data(spark, sf_dir):
+    sdata = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("ex@32473"), F.create_map(F.lit("seg"), F.col("c_mktsegment")))).otherwise(F.create_map().cast("map<string,map<string,string>>"))
+    text = 'declare has = has_sdata(); declare enterprise = is_sdata_from_enterprise("32473"); s = has ? get_sdata("ex@32473") : {}; $seg =?? s.seg;'
+    return run(text, customers(spark, sf_dir, sdata=sdata), "c_custkey", "has", "enterprise", "$seg")
+
+
+@query("""
+SELECT c_custkey, 36 AS u4, 36 AS u7, '{"k":"a","v":"' || c_name || '"}' AS pair, to_base64(encode(c_name)) AS data, CAST(c_nationkey AS VARCHAR) AS otel, strftime(TIMESTAMP '2024-03-04 05:06:07', '%d.%m.%Y') AS day, c_name AS second, c_mktsegment AS kv, 'a' AS first_label, true AS same,
+       TIMESTAMP '2024-01-01 00:00:00' AS got, '<' || (c_custkey % 192) || '>1 2024-01-01T00:00:00.000000+00:00 ' || c_name || ' ' || lower(c_mktsegment) || ' ' || c_custkey || ' - - hello' AS line
+FROM customer
+""")
+def program_formats(spark, sf_dir):
+    """Identifiers, pairs, message objects, dates, parsers and formats by the expression functions."""
+    text = """
+    declare u4 = len(uuid4());
+    declare u7 = len(uuid7());
+    p = dict_to_pairs({"a": $HOST}, "k", "v");
+    $pair = p[0];
+    m = pubsub_message($HOST, {"x": "y"});
+    $data = m.data;
+    o = otel_kvlist({"n": $nation});
+    $otel = o.n;
+    $day = strftime("%d.%m.%Y", strptime("2024-03-04 05:06:07", "%Y-%m-%d %H:%M:%S"));
+    c = parse_csv("x," + $HOST, columns=["one", "two"]);
+    $second = c.two;
+    k = parse_kv("a=1, seg=" + $SEG);
+    $kv = k.seg;
+    l = keys(metrics_labels({"b": "1", "a": "2"}));
+    $first_label = l[0];
+    declare same = repr("x") == "x" and string(bytes($HOST)) == $HOST;
+    declare got = get_timestamp("stamp");
+    $line = format_syslog_5424("hello");
+    """
+    e = customers(spark, sf_dir, nv=F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("SEG"), F.col("c_mktsegment")))
+    return run(text, e, "c_custkey", "u4", "u7", "$pair", "$data", "$otel", "$day", "$second", "$kv", "$first_label", "same", "got", "$line")
+
+
+@query("""
+SELECT c_custkey, sha256(c_name) AS h, md5(c_name) AS m, c_name || ' x' AS decoded, 36 AS n_uuid, 'USER' AS user_function, c_name || '!' AS listed, '2' AS counted
+FROM customer
+""")
+def template_extras(spark, sf_dir):
+    """Hashes, decoding, a function of the user's own, list functions in templates."""
+    e = customers(spark, sf_dir)
+    s = Scope(frozenset(e.columns), functions={"mine": lambda scope, x: F.upper(render(x, scope))})
+    made = {"h": "$(hash $HOST)", "m": "$(md5 $HOST)", "decoded": "$(url-decode $(url-encode '$HOST x'))", "user_function": "$(mine user)", "listed": "$(list-head $(list-append '' '$HOST!'))", "counted": "$(list-count a,b)"}
+    return e.select("c_custkey", *[render(t, s).alias(n) for n, t in made.items()], F.length(render("$(uuid)", s)).alias("n_uuid"))
+
+
+# sinks and sources of other kinds
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(octet_length(encode(c_name)) + 1) - count(*) + count(*) AS BIGINT) AS bytes, CAST(200 AS INTEGER) AS status FROM customer")
+def batched_requests(spark, sf_dir):
+    """Bodies sent in batches of 100 lines each; the sender answers 503 once for each batch before it takes it."""
+
+    def send(text: str, seen: set = set()) -> int:  # noqa: B006
+        again = hash(text) in seen
+        seen.add(hash(text))
+        return 200 if again else 503
+
+    r = writers.request(customers(spark, sf_dir), F.concat("host", F.lit("\n")), send, delimiter="", lines=100)
+    return r.groupBy("status").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+@query("""
+SELECT c_custkey, '{"index":{"_index":"logs","_id":"' || c_custkey || '"}}' || chr(10) || '{"n":"' || c_name || '"}' || chr(10) AS elastic, '{"text":"' || c_name || '"}' AS slack,
+       '{"streams":[{"stream":{"seg":"' || c_mktsegment || '"},"values":[["1704067200000000000","' || c_name || '"]]}]}' AS loki, 'a.b ' || c_nationkey || ' 1704067200' AS graphite, '{"n":"' || c_name || '"}' AS json
+FROM customer
+""")
+def service_formats(spark, sf_dir):
+    e = customers(spark, sf_dir, "c_mktsegment", "c_nationkey")
+    doc = writers.json_object(e, {"n": "$HOST"})
+    return e.select("c_custkey", writers.elasticsearch_bulk(e, "logs", doc, id_=F.col("pid")).alias("elastic"), writers.slack(F.col("host")).alias("slack"), writers.loki_stream(F.struct(F.col("c_mktsegment").alias("seg")), F.col("host"), F.col("stamp")).alias("loki"), writers.graphite(F.lit("a.b"), F.col("c_nationkey"), F.col("stamp")).alias("graphite"), doc.alias("json"))
+
+
+@query("SELECT c_custkey, c_name AS host, lower(c_mktsegment) AS program, 'm' || c_custkey AS message, CAST(8 * 4 + 3 AS INTEGER) AS pri FROM customer")
+def journal_source(spark, sf_dir):
+    """Journal entries in JSON lines, written and read."""
+    path = shared_dir(spark)
+    c = table(spark, sf_dir, "customer")
+    row = F.struct(F.col("c_name").alias("_HOSTNAME"), F.lower("c_mktsegment").alias("SYSLOG_IDENTIFIER"), F.col("c_custkey").cast("string").alias("_PID"), F.concat(F.lit("m"), "c_custkey").alias("MESSAGE"), F.lit("4").alias("SYSLOG_FACILITY"), F.lit("3").alias("PRIORITY"), F.lit("1704067200000000").alias("__REALTIME_TIMESTAMP"))
+    c.select(F.to_json(row).alias("value")).write.text(path)
+    return readers.journal(spark, path).select(F.col("pid").cast("bigint").alias("c_custkey"), "host", "program", "message", "pri")
+
+
+@query("SELECT 'row ' || range AS message FROM range(0, 25)")
+def fetcher_source(spark, sf_dir):
+    """A fetcher class of the user's own."""
+
+    class Counting:
+        def __init__(self, most: int) -> None:
+            self.at, self.most = 0, most
+
+        def open(self) -> None:
+            self.at = 0
+
+        def fetch(self) -> str | None:
+            self.at += 1
+            return f"row {self.at - 1}" if self.at <= self.most else None
+
+        def close(self) -> None:
+            pass
+
+    return readers.fetcher(spark, Counting, most=25).select("message")
+
+
+@query("SELECT CAST(400 AS BIGINT) AS n, true AS known")
+def random_choices(spark, sf_dir):
+    return readers.random_choice(spark, 400, ["a", "b", "c"], 1).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("message").isin("a", "b", "c")).alias("known"))
+
+
 __all__ = ["QUERIES", "SQL"]

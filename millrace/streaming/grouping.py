@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.session import ship
+from millrace.session import remove, shared_dir, ship
 
 
 def sessions(df: DataFrame, keys: list[str], timeout: int, aggregates: dict[str, Column], ts: str = "stamp", delay: str = "10 minutes", having: Column | None = None) -> DataFrame:
@@ -24,8 +24,8 @@ def sessions(df: DataFrame, keys: list[str], timeout: int, aggregates: dict[str,
     return out if having is None else out.where(having)
 
 
-def triggered(df: DataFrame, keys: list[str], columns: list[str], timeout: int, aggregate: Callable[[list[tuple]], tuple], schema: str, trigger: Callable[[list[tuple]], bool], having: Callable[[list[tuple]], bool] | None = None) -> DataFrame:
-    """Groups that end at a trigger or after ``timeout`` seconds without a row (of processing time). ``columns`` are what a row tuple holds; output rows are the keys and what ``aggregate`` gives."""
+def triggered(df: DataFrame, keys: list[str], columns: list[str], timeout: int, aggregate: Callable[[list[tuple]], tuple], schema: str, trigger: Callable[[list[tuple]], bool], having: Callable[[list[tuple]], bool] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Groups that end at a trigger or after ``timeout`` seconds without a row (of processing time). ``columns`` are what a row tuple holds; output rows are the keys and what ``aggregate`` gives. Rows of a micro-batch come in the order of the columns ``order``, which by default are all of ``columns``."""
     ship(df.sparkSession)
     state = "rows string"
 
@@ -45,11 +45,12 @@ def triggered(df: DataFrame, keys: list[str], columns: list[str], timeout: int,
             emit()
             s.remove()
         else:
-            for f in frames:
-                for r in f[columns].sort_values(columns).itertuples(index=False, name=None):
-                    rows.append(r)
-                    if trigger(rows):
-                        emit()
+            # a key's frames come unsorted against each other
+            f = pd.concat(list(frames)).sort_values(order or columns, kind="stable")
+            for r in f[columns].itertuples(index=False, name=None):
+                rows.append(r)
+                if trigger(rows):
+                    emit()
             if rows:
                 s.update((base64.b64encode(pickle.dumps(rows)).decode(),))
                 s.setTimeoutDuration(timeout * 1000)
@@ -69,18 +70,17 @@ def rate_limited(df: DataFrame, keys: list[str], rate: int, ts: str) -> DataFram
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
         tokens, filled = s.get if s.exists else (rate, -1)
-        for f in frames:
-            f = f.sort_values(ts, kind="stable")
-            keep = []
-            for t in f[ts].astype("int64") // (1 if f[ts].dtype == "datetime64[us]" else 1000):
-                filled = int(t) if filled < 0 else filled
-                new = (int(t) - filled) * rate // 1_000_000
-                if new > 0:
-                    tokens, filled = min(rate, tokens + new), int(t)
-                keep.append(tokens >= 1)
-                tokens -= tokens >= 1
-            s.update((int(tokens), int(filled)))
-            yield f[keep][names]
+        f = pd.concat(list(frames)).sort_values(ts, kind="stable")  # a key's frames come unsorted against each other
+        keep = []
+        for t in f[ts].astype("int64") // (1 if f[ts].dtype == "datetime64[us]" else 1000):
+            filled = int(t) if filled < 0 else filled
+            new = (int(t) - filled) * rate // 1_000_000
+            if new > 0:
+                tokens, filled = min(rate, tokens + new), int(t)
+            keep.append(tokens >= 1)
+            tokens -= tokens >= 1
+        s.update((int(tokens), int(filled)))
+        yield f[keep][names]
 
     return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "tokens long, filled long", "append", GroupStateTimeout.NoTimeout)
 
@@ -91,6 +91,15 @@ def counters(df: DataFrame, labels: list[str], ts: str, window: str = "1 minute"
     return d.select(*labels, F.col("window.start").alias("window_start"), "value")
 
 
+def written(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Drains what a source holds into Parquet in the shared folder, with its checkpoint beside it, and reads that."""
+    spark = df.sparkSession
+    path, state = shared_dir(spark), shared_dir(spark)
+    df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    remove(spark, state)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drains what a source holds into a table in memory, for trials and tests. Not for state with processing-time timeouts: that runs until they have fired."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

@@ -43,7 +43,7 @@ def simple(name: str, kind: str, f: Callable[..., Column]) -> None:
     """A function of the values alone; literals among the arguments reach it as they are."""
 
     def run(*args, **options) -> Expr:
-        es = [wrap(a) for a in args]
+        es = [typed.texts(wrap(a)) for a in args]
         return made(f(*[e.value for e in es], **options), kind, *es)
 
     FUNCTIONS[name] = run
@@ -79,7 +79,7 @@ def string(x):
 @function("repr")
 def repr_(x):
     x = wrap(x)
-    return made(F.to_json(x.value) if x.kind in (DICT, LIST) else x.value.cast("string"), STRING, x)
+    return made(typed.json_text(x) if x.kind in (DICT, LIST) else x.value.cast("string"), STRING, x)
 
 
 @function("bytes", "protobuf")
@@ -98,11 +98,11 @@ def istype(x, name):
 
 @function("dict", "json", "parse_json")
 def dict_(x=None):
-    """A mapping of an object's members; inner objects and arrays stay as JSON text, which further access reads."""
+    """A mapping of an object's members with their types; further access reads inner objects and arrays."""
     if x is None:
         return made(F.create_map().cast("map<string,string>"), DICT)
     x = wrap(x)
-    return x if x.kind == DICT else made(T.json_flat(x.value), DICT, x)
+    return x if x.kind == DICT else made(typed.json_dict(x.value), DICT, x)
 
 
 @function("list", "json_array", "tuple")
@@ -110,14 +110,13 @@ def list_(x=None):
     if x is None:
         return made(F.array().cast("array<string>"), LIST)
     x = wrap(x)
-    return x if x.kind == LIST else made(F.from_json(x.value, "array<string>"), LIST, x)
+    return x if x.kind == LIST else made(typed.json_list(x.value), LIST, x)
 
 
 @function("format_json")
 def format_json(x):
     x = wrap(x)
-    text = T.json_object(x.value) if x.kind == DICT else F.to_json(x.value) if x.kind == LIST else T.json_string(x.value) if x.kind == STRING else x.value.cast("string")
-    return made(text, STRING, x)
+    return made(typed.json_text(x), STRING, x)
 
 
 @function("str_replace")
@@ -205,7 +204,7 @@ def parse_kv(s, value_separator="=", pair_separator=", ", stray_words_key=None):
 
 @function("format_kv")
 def format_kv(m, value_separator="=", pair_separator=", "):
-    m = wrap(m)
+    m = typed.texts(wrap(m))
     return made(T.format_kv(m.value, literal(value_separator), literal(pair_separator)), STRING, m)
 
 
@@ -219,33 +218,41 @@ def parse_csv(s, columns=None, delimiter=",", dialect="escape-double-char", stri
 
 @function("format_csv")
 def format_csv(x, columns=None, delimiter=",", default_value=""):
-    x = wrap(x)
+    x = typed.texts(wrap(x))
     values = x.value if x.kind == LIST else F.array(*[F.coalesce(x.value[c], F.lit(literal(default_value))) for c in literal(columns)]) if columns is not None else F.map_values(x.value)
     return made(T.format_csv(values, literal(delimiter)), STRING, x)
 
 
-@function("format_cef", "format_leef")
+@function("format_cef")
 def format_cef(m):
     """Header fields by their names, the rest as extensions."""
-    m = wrap(m)
+    m = typed.texts(wrap(m))
     head = [F.coalesce(m.value[k], F.lit("")) for k in T._CEF]
     return made(T.format_cef(head, F.map_filter(m.value, lambda k, _: ~k.isin(*T._CEF))), STRING, m)
 
 
-FUNCTIONS["format_leef"] = lambda m: made(T.format_leef([F.coalesce(wrap(m).value[k], F.lit("")) for k in T._LEEF], F.map_filter(wrap(m).value, lambda k, _: ~k.isin(*T._LEEF))), STRING, wrap(m))
+@function("format_leef")
+def format_leef(m):
+    m = typed.texts(wrap(m))
+    head = [F.coalesce(m.value[k], F.lit("")) for k in T._LEEF]
+    return made(T.format_leef(head, F.map_filter(m.value, lambda k, _: ~k.isin(*T._LEEF))), STRING, m)
 
 
 @function("flatten")
 def flatten(x, separator="."):
     x = wrap(x)
-    return made(T.json_fields(T.json_object(x.value) if x.kind == DICT else x.value, "", literal(separator)), DICT, x)
+    return made(T.json_fields(typed.json_text(x) if x.kind == DICT else x.value, "", literal(separator)), DICT, x)
 
 
 @function("unset_empties")
-def unset_empties(x, replacement=None, ignorecase=False, targets=None, **_):
+def unset_empties(x, replacement=None, ignorecase=False, targets=None, recursive=False):
     from millrace.plans.block import unset_empties as f
 
+    if literal(recursive):
+        raise ValueError("unset_empties() reads the members of one dict; inner ones are JSON")
     x = wrap(x)
+    if targets is None:  # an empty string, list or dict, and null
+        x = Expr(F.transform_values(x.value, lambda _, v: F.when(v.isNull() | v.isin(f"{typed.TYPED}[]", f"{typed.TYPED}{{}}"), F.lit("")).otherwise(v)), DICT, x.ok)
     return made(f(x.value, tuple(literal(targets)) if targets is not None else ("",), literal(replacement), bool(literal(ignorecase))), DICT, x)
 
 
@@ -286,7 +293,7 @@ def has_sdata():
 
 @function("get_sdata")
 def get_sdata(id_=None):
-    return made(F.col("sdata")[literal(id_)] if id_ is not None else F.transform_values("sdata", lambda _, v: F.to_json(v)), DICT)
+    return made(F.col("sdata")[literal(id_)] if id_ is not None else F.transform_values("sdata", lambda _, v: F.concat(F.lit(typed.TYPED), F.to_json(v))), DICT)
 
 
 @function("is_sdata_from_enterprise")
@@ -308,9 +315,11 @@ def null():
 
 @function("dict_to_pairs")
 def dict_to_pairs(x, key, value):
-    """A list of {key, value} objects as JSON text."""
+    """A list of {key, value} objects."""
     x = wrap(x)
-    return made(F.transform(F.map_entries(x.value), lambda e: F.to_json(F.create_map(F.lit(literal(key)), e["key"], F.lit(literal(value)), e["value"]))), LIST, x)
+    name = lambda n: F.to_json(F.array(F.lit(literal(n)))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(literal(n))))) - 2)
+    one = lambda e: F.concat(F.lit(typed.TYPED + "{"), name(key), F.lit(":"), typed.member_json(e["key"]), F.lit(","), name(value), F.lit(":"), typed.member_json(e["value"]), F.lit("}"))
+    return made(F.transform(F.map_entries(x.value), one), LIST, x)
 
 
 @function("set_fields")
@@ -353,5 +362,5 @@ def otel_array(x=None):
 @function("pubsub_message")
 def pubsub_message(data, attributes=None):
     d = wrap(data)
-    a = F.to_json(wrap(attributes).value) if attributes is not None else F.lit("{}")
+    a = F.concat(F.lit(typed.TYPED), typed.json_text(wrap(attributes)) if attributes is not None else F.lit("{}"))
     return made(F.create_map(F.lit("data"), S.base64_encode(d.value), F.lit("attributes"), a), DICT, d)

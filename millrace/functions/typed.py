@@ -323,9 +323,72 @@ def merged(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
+#: Members of dicts and lists are text; one that isn't a string is this sign and its JSON.
+TYPED = "\ue000"
+
+
+def _quoted(s: Column) -> Column:
+    a = F.to_json(F.array(s))
+    return F.substring(a, F.lit(2), F.length(a) - 2)
+
+
+def member_json(v: Column) -> Column:
+    """The JSON of a member."""
+    return F.when(v.isNull(), F.lit("null")).when(v.startswith(TYPED), F.substring(v, F.lit(2), F.length(v))).otherwise(_quoted(v))
+
+
+def member_text(v: Column) -> Column:
+    """The text of a member."""
+    return F.when(v.startswith(TYPED), F.substring(v, F.lit(2), F.length(v))).otherwise(v)
+
+
+def json_text(e: Expr) -> Column:
+    """A value as JSON."""
+    if hasattr(e, "raw"):
+        return member_json(e.raw)
+    if e.kind == DICT:
+        pairs = F.transform(F.map_entries(e.value), lambda x: F.concat(_quoted(x["key"]), F.lit(":"), member_json(x["value"])))
+        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    if e.kind == LIST:
+        return F.concat(F.lit("["), F.array_join(F.transform(e.value, member_json), ","), F.lit("]"))
+    if e.kind == NULL:
+        return F.lit("null")
+    return e.value.cast("string") if e.kind in (INT, DOUBLE, BOOL) else _quoted(F.base64(e.value) if e.kind == BYTES else e.value.cast("string"))
+
+
+def held(e: Expr) -> Column:
+    """A value as a member of a dict or list."""
+    if hasattr(e, "raw"):
+        return e.raw
+    return e.value.cast("string") if e.kind in (STRING, BYTES, DATETIME, NULL) else F.concat(F.lit(TYPED), json_text(e))
+
+
+def texts(e: Expr) -> Expr:
+    """A dict or list whose members are all plain text, for functions of text."""
+    if e.kind == DICT:
+        return Expr(F.transform_values(e.value, lambda _, v: member_text(v)), DICT, e.ok)
+    return Expr(F.transform(e.value, member_text), LIST, e.ok) if e.kind == LIST else e
+
+
+def _kept(raw: Column, variant: Column) -> Column:
+    return F.when(F.schema_of_variant(variant).isin("STRING", "VOID"), raw).otherwise(F.concat(F.lit(TYPED), raw))
+
+
+def json_dict(s: Column) -> Column:
+    """The members of a JSON object, in its order, with their types; null where it is none."""
+    raw, types = F.from_json(s, "map<string,string>"), F.try_variant_get(F.try_parse_json(s), "$", "map<string,variant>")
+    return F.when(types.isNotNull(), F.transform_values(raw, lambda k, v: _kept(v, F.try_element_at(types, k))))
+
+
+def json_list(s: Column) -> Column:
+    """The members of a JSON array with their types; null where it is none."""
+    raw, types = F.from_json(s, "array<string>"), F.try_variant_get(F.try_parse_json(s), "$", "array<variant>")
+    return F.when(types.isNotNull(), F.zip_with(raw, types, _kept))
+
+
 def member(x, container) -> Expr:
-    """``x in container``: of a list by type and value, of a dict by key."""
-    x, container = wrap(x), wrap(container)
+    """``x in container``: of a list by text, of a dict by key."""
+    x, container = wrap(x), texts(wrap(container))
     if container.kind == DICT:
         return Expr(F.map_contains_key(container.value, x.value), BOOL, _both(x, container))
     return Expr(F.coalesce(F.array_contains(container.value, x.value), F.lit(False)), BOOL, _both(x, container))
@@ -335,11 +398,17 @@ def element(container, key) -> Expr:
     """``container[key]``: a dict's key, or a list's index from 0, negative from the end; absent is an error."""
     c, k = wrap(container), wrap(key)
     if c.kind == DICT:
-        v = F.try_element_at(c.value, k.value)
-        return Expr(v, STRING, F.coalesce(_both(c, k) & F.map_contains_key(c.value, k.value), F.lit(False)))
+        return _raw(F.try_element_at(c.value, k.value), F.coalesce(_both(c, k) & F.map_contains_key(c.value, k.value), F.lit(False)))
     at = F.when(k.value >= 0, k.value + 1).otherwise(k.value).cast("int")
     inside = (k.value < F.size(c.value)) & (k.value >= -F.size(c.value))
-    return Expr(F.try_element_at(c.value, F.when(inside, at).otherwise(F.lit(1))), STRING, F.coalesce(_both(c, k) & inside, F.lit(False)))
+    return _raw(F.try_element_at(c.value, F.when(inside, at).otherwise(F.lit(1))), F.coalesce(_both(c, k) & inside, F.lit(False)))
+
+
+def _raw(v: Column, ok: Column) -> Expr:
+    """A member as text that still knows its JSON."""
+    e = Expr(member_text(v), STRING, ok)
+    object.__setattr__(e, "raw", v)
+    return e
 
 
 def cast_int(a) -> Expr:

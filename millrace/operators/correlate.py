@@ -201,8 +201,7 @@ TRACES: dict[str, list[tuple[str, str | None]]] = {
         (rf"^\S*{_ERROR} \(.*\):$", "ruby"), (rf"(?:^|\s){_ERROR}(?::|$|\s*$)", "java"),
     ],
     "java": [(r"^\s+(?:eval )?at\s", "java"), (r"^\s*\.{3} \d+ ", "java"), (r"^\s*(?:Caused by|Suppressed|Wrapped by): ", "java"), (r"^\s*-{3,} ", "java"), (r"^\s*nested exception is", "java"), (rf"^\s+{_ERROR}", "java")],
-    "py": [(r"^\s+File ", "py-code"), (r"^\s+\S", "py"), (r"^(?:[^\s.():]+\.)*[^\s.():]+(?::|$)", "py-end")],
-    "py-code": [(r"^\s+File ", "py-code"), (r"\S", "py")],
+    "py": [(r"^\s+\S", "py"), (r"^(?:[^\s.():]+\.)*[^\s.():]+(?::|$)", "py-end")],
     "py-end": [(r"^$", "py-next"), (r"^(?:During handling of the above|The above exception was the direct)", "py-next")],
     "py-next": [(r"^$", "py-next"), (r"^(?:During handling of the above|The above exception was the direct)", "py-next"), (r"^Traceback \(most recent call last\):$", "py")],
     "php": [(r"^(?:PHP )?Stack trace:$", "php"), (r"^(?:PHP\s+)?#?\d+[.: ]", "php"), (r"^\s+thrown in ", None)],

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import glob_to_regex, ipv4_to_int
-from millrace.functions.typed import merged
+from millrace.functions.typed import TYPED, merged
 
 #: Selectors that are broadcast; a longer table is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -81,7 +81,7 @@ def cached_json(spark, path: str) -> Column:
 
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    items = [x for k, v in sorted(data.items()) for x in (F.lit(k), F.lit(v if isinstance(v, str) else json.dumps(v)))]
+    items = [x for k, v in sorted(data.items()) for x in (F.lit(k), F.lit(v if isinstance(v, str) else TYPED + json.dumps(v, separators=(",", ":"))))]
     return F.create_map(*items) if items else F.create_map().cast("map<string,string>")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.functions import typed
 from millrace.functions.registry import FUNCTIONS
 from millrace.functions.strings import in_subnet, java_regex
-from millrace.functions.templates import CORE, Scope, render
+from millrace.functions.templates import CORE, FACILITIES, SEVERITIES, Scope, _named, render
 from millrace.functions.typed import BOOL, DATETIME, DICT, INT, LIST, NULL, STRING, Expr, wrap
 from millrace.operators.rewrites import put
 from millrace.plans.block import Block
@@ -247,6 +247,12 @@ class Program:
             return ("field", text[2:-1] if text.startswith("${") else text[1:])
         if text == "(":
             e = self._expression()
+            if self._take(","):  # a tuple
+                items = [e]
+                while not self._take(")"):
+                    items.append(self._expression())
+                    self._take(",")
+                return ("list", items)
             self._want(")")
             return e
         if text == "[":
@@ -338,7 +344,12 @@ class _Run:
         return literal(x)
 
     def _e_template(self, text: str) -> Expr:
-        scope = Scope(frozenset(self.df.columns), {n[1:]: x.value for n, x in self.block.values.items() if n[0] == "$"})
+        extra = {n[1:]: x.value for n, x in self.block.values.items() if n[0] == "$"}
+        if "pri" in extra:
+            level, facility = (extra["pri"] % 8).cast("int"), F.floor(extra["pri"] / 8).cast("int")
+            named = {"LEVEL": _named(SEVERITIES, level), "FACILITY": F.coalesce(F.try_element_at(F.array(*map(F.lit, FACILITIES)), facility + 1), facility.cast("string"))}
+            extra |= {"PRI": extra["pri"], "LEVEL_NUM": level, "SEVERITY_NUM": level, "FACILITY_NUM": facility, **named, "SEVERITY": named["LEVEL"], "PRIORITY": named["LEVEL"]}
+        scope = Scope(frozenset(self.df.columns), extra)
         return Expr(render(text, scope), STRING, F.lit(True))
 
     def _e_field(self, name: str) -> Expr:
@@ -349,7 +360,7 @@ class _Run:
 
     def _e_list(self, items) -> Expr:
         es = [self.eval(i) for i in items]
-        out = Expr(F.array(*[x.value.cast("string") for x in es]) if es else F.array().cast("array<string>"), LIST, typed.conjunction([x.ok for x in es]))
+        out = Expr(F.array(*[typed.held(x) for x in es]) if es else F.array().cast("array<string>"), LIST, typed.conjunction([x.ok for x in es]))
         if all(hasattr(x, "literal") for x in es):
             object.__setattr__(out, "literal", [x.literal for x in es])
         return out
@@ -358,7 +369,7 @@ class _Run:
         out, ok = F.create_map().cast("map<string,string>"), F.lit(True)
         for k, v, skip in pairs:
             key, value = self.eval(k), self.eval(v)
-            text = F.to_json(value.value) if value.kind in (DICT, LIST) else value.value.cast("string")
+            text = typed.held(value)
             put_ = typed.merged(out, F.create_map(key.value.cast("string"), text))
             if skip:
                 out = F.when(F.coalesce(value.ok & text.isNotNull(), F.lit(False)), put_).otherwise(out)
@@ -464,7 +475,7 @@ class _Run:
         if name == "failure_info":
             return Expr(self.block.failures(), LIST, F.lit(True))
         if name == "vars":
-            return Expr(F.create_map(*[x for n, e in self.block.values.items() if n[0] != "$" for x in (F.lit(n), e.value.cast("string"))]), DICT, F.lit(True))
+            return Expr(F.create_map(*[x for n, e in self.block.values.items() if n[0] != "$" for x in (F.lit(n), typed.held(e))]), DICT, F.lit(True))
         if name not in FUNCTIONS:
             raise NameError(f"no function {name}")
         return FUNCTIONS[name](*[self.eval(a) for a in args], **{k: self.eval(v) for k, v in options.items()})
@@ -475,7 +486,7 @@ class _Run:
             raise ValueError("the key of a metric is a literal")
         step = increment if increment is not None else literal(1)
         none = F.create_map().cast("map<string,string>")
-        entry = F.struct(F.lit(key.literal).alias("name"), (labels.value if labels is not None else none).alias("labels"), F.coalesce(step.value.try_cast("bigint"), F.lit(0)).alias("value"))
+        entry = F.struct(F.lit(key.literal).alias("name"), (typed.texts(labels).value if labels is not None else none).alias("labels"), F.coalesce(step.value.try_cast("bigint"), F.lit(0)).alias("value"))
         ok = F.coalesce(step.ok & (labels.ok if labels is not None else F.lit(True)), F.lit(False))
         hit, entry = self.block.keep(self.block.active() & ok, entry)
         self.metrics.append(F.when(hit, entry))
@@ -494,12 +505,18 @@ class _Run:
         if target[0] in ("attr", "index"):
             base = self.eval(target[1])
             key = literal(target[2]) if target[0] == "attr" else self.eval(target[2])
-            text = F.to_json(value.value) if value.kind in (DICT, LIST) else value.value.cast("string")
+            text = typed.held(value)
+            if base.kind == LIST:
+                n = F.size(base.value)
+                at = F.when(key.value < 0, n + key.value).otherwise(key.value)
+                inside = F.coalesce((at >= 0) & (at < n), F.lit(False))
+                self.store(target[1], Expr(F.transform(base.value, lambda x, i: F.when(i == at, text).otherwise(x)), LIST, base.ok & value.ok & key.ok & inside))
+                return
             self.store(target[1], Expr(typed.merged(base.value, F.create_map(key.value.cast("string"), text)), DICT, base.ok & value.ok & key.ok))
             return
         if target[0] == "append":
             base = self.eval(target[1])
-            self.store(target[1], Expr(F.array_append(base.value, value.value.cast("string")), LIST, base.ok & value.ok))
+            self.store(target[1], Expr(F.array_append(base.value, typed.held(value)), LIST, base.ok & value.ok))
             return
         name, old, b = self._name(target), self._old(target), self.block
         v, ok = b.keep(value.value, F.coalesce(value.ok, F.lit(False)))
@@ -595,7 +612,7 @@ class _Run:
         for n, e in b.values.items():
             if n[0] != "$":
                 continue
-            own, value = CORE.get(n[1:], n[1:]), F.to_json(e.value) if e.kind in (DICT, LIST) else e.value
+            own, value = CORE.get(n[1:], n[1:]), typed.json_text(e) if e.kind in (DICT, LIST) else e.value
             if own in self.df.columns:
                 d = put(d, n[1:], F.when(e.ok, value))
             else:

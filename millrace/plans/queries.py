@@ -390,11 +390,15 @@ def group_lines(spark, sf_dir):
     return correlate.group_lines(e, ["user_id"], ["event_id"], "regexp", prefix="^(?!view)")
 
 
-@query()
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS id, url, sha256(html) AS html_sha256 FROM pages")
 def xml_fields(spark, sf_dir):
-    """Pages that are well-formed XML, by their elements; most are not."""
-    p = to_events(table(spark, sf_dir, "pages"), ("page_id",), message=F.regexp_replace("html", "(?s)^.*?(<title>.*?</title>).*$", "$1"))
-    return parsers.xml_parser(p, ".xml.").select("page_id", F.col("nv")[".xml.title"].alias("title"))
+    """Documents in XML that hold whole pages as text, parsed whole."""
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("]]>"), F.lit("]]&gt;"))
+    line = F.concat(F.lit('<page id="'), F.col("page_id"), F.lit('"><url>'), text(F.col("url")), F.lit("</url><html>"), text(F.col("html")), F.lit("</html></page>"))
+    p = to_events(table(spark, sf_dir, "pages"), ("page_id",), message=line)
+    p = computed(parsers.xml_parser(p, ".xml.").select("page_id", "nv"), x=F.col("nv"))
+    x = F.col("x")
+    return p.select("page_id", x[".xml.page._id"].alias("id"), x[".xml.page.url"].alias("url"), F.sha2(x[".xml.page.html"], 256).alias("html_sha256"))
 
 
 @query()
@@ -410,7 +414,6 @@ def pattern_rules(spark, sf_dir):
 
 
 SQL["pattern_rules"] = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'any' END AS rule_id, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS status FROM orders"
-SQL["xml_fields"] = r"SELECT page_id, NULLIF(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') AS title FROM pages"
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Operators over small events."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,60 @@ def test_sources_and_sinks(spark, tmp_path):
     assert writers.table(d, {"m": ("$MSG", "string"), "n": ("7", "int")}).first().n == 7
     bulk = '{"items":[{"index":{"status":201}},{"index":{"status":429}}]}'
     assert spark.range(1).select(writers.failed_rows(L(bulk))).first()[0] == [1]
+
+
+PYTHON = ["Traceback (most recent call last):", '  File "a.py", line 3, in f', "    g(x)", "    ^^^^", '  File "b.py", line 9, in g', "ValueError: no: really"]
+CHAINED = [*PYTHON, "", "During handling of the above exception, another exception occurred:", "", *PYTHON]
+JAVA = ["Exception in thread main java.lang.RuntimeException: x", "\tat a.B.c(B.java:1)", "Caused by: java.io.IOException: y", "\tat a.B.d(B.java:2)", "\t... 3 more"]
+NODE = ["TypeError: x is undefined", "    at f (a.js:1:2)", "    at g (a.js:3:4)"]
+PHP = ["PHP Fatal error:  Uncaught Exception: x in /a.php:3", "Stack trace:", "#0 {main}", "  thrown in /a.php on line 3"]
+GO = ["panic: oh no", "", "goroutine 1 [running]:", "main.f(0x1)", "\t/a.go:3 +0x1", "main.main()", "\t/a.go:9 +0x2"]
+RUBY = ["NoMethodError (undefined method x):", "  app/a.rb:3:in `f'", "  app/b.rb:4:in `g'"]
+DART = ["Unhandled exception:", "Instance of 'E'", "#0      main (a.dart:1:2)", "#1      f (a.dart:3:4)"]
+
+
+@pytest.mark.parametrize("trace", [PYTHON, CHAINED, JAVA, NODE, PHP, GO, RUBY, DART])
+def test_smart_traces(trace):
+    """A trace is one record between plain lines, after itself, and after another language's."""
+    lines = ["plain", *trace, "plain", "other", *trace, *trace, *NODE, "end"]
+    begins = list(correlate.smart_records(iter(lines)))
+    sizes = [b - a for a, b in zip(*(lambda x: (x, [*x[1:], len(lines)]))([i for i, new in enumerate(begins) if new]))]
+    assert sizes == [1, len(trace), 1, 1, len(trace), len(trace), len(NODE), 1]
+
+
+def test_conditions():
+    from millrace.functions.conditions import holds, parse
+
+    row = {"pri": 11, "tags": ["a"], "source": "s", "peer_ip": "10.0.0.7"}
+    text = lambda t: {"${MESSAGE}": "hello world", "${PROGRAM}": "app", "$N": "7", "$E": ""}.get(t, t)
+    yes = ['"$N" > 5', "$N == 7.0", 'not ("$N" < 5)', '"a and b" == "a and b"', 'match("wor") and "$N" eq "7"', 'match("^x" value("PROGRAM")) or program("app" type("string"))', "level(err..emerg)", "facility(user)", 'tags("a" "z")', 'source("s")', 'netmask("10.0.0.0/8")', '("$N" > 5) and ("$N" < 9)', "$N", 'match("WORLD" flags("ignore-case"))']
+    no = ['match("zzz")', '"$N" > 5 and "$E" ne ""', "$E", "level(debug)", 'tags("q")', "not true()", 'netmask("192.168.0.0/16")', '"$N" lt "6"']
+    assert all(holds(parse(c), text, row) for c in yes) and not any(holds(parse(c), text, row) for c in no)
+    for bad in ('"a" ==', "nothing(1)", '("a" == "b"', '"a" "b"', "", 'x == "open'):
+        with pytest.raises(ValueError, match="condition|filter"):
+            parse(bad)
+
+
+def test_overlapping_ranges_take_the_innermost(spark):
+    r = random.Random(4)
+    ranges = [(s, s + r.choice([0, 3, 400, 70_000, 2_000_000]), f"r{i}") for i in range(60) for s in [(10 << 24) + r.randrange(300_000)]]
+    ips = sorted({(10 << 24) + r.randrange(310_000) for _ in range(500)} | {x for a, b, _ in ranges[:20] for x in (a, b, b + 1)})
+    dotted = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    got = enrich.ip_range_join(spark.createDataFrame([(dotted(i), i) for i in ips], "ip string, n long"), F.col("ip"), spark.createDataFrame(ranges, "start long, end long, name string"), ["name"]).collect()
+    assert len(got) == len(ips)
+    for g in got:
+        over = [(b - a, a, n) for a, b, n in ranges if a <= g.n <= b]
+        assert g.name == (min(over)[2] if over else None)
+
+
+def test_pattern_lookup_equals_trying_each_rule():
+    import re
+
+    from millrace.operators import patterndb
+
+    rules = [patterndb.Rule(f"r{i}", [p]) for i, p in enumerate(["a@NUMBER:n@", "a1@ANYSTRING:x@", "@ESTRING:k:=@@ANYSTRING:v@", "abc", "abc @SET:s:xy@", "a.b[1] @IPv4:ip@", "@NUMBER:n@ apples", "b@@c @NUMBER:n@"])]
+    found = patterndb.Lookup(rules)
+    for text in ["a17", "a1x", "k=v w", "abc", "abc xyx", "abc q", "a.b[1] 10.0.0.1", "12 apples", "b@c 4", "", "zzz"]:
+        want = next((r.rule_id for r, rx, _ in patterndb.ordered(rules) if re.search(rx, text)), None)
+        got = found.first(text, None)
+        assert (got and got[0][".classifier.rule_id"]) == want

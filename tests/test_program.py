@@ -33,8 +33,8 @@ $HOST in ["h1", "h2"];
 def test_program(events):
     got = {r.host: (r.total, r.nv) for r in Program(TEXT).apply(events).collect()}
     assert got == {
-        "h1": (6, {"value": "5", "class": "small", "ab": "1", "part": "h-h1!", "x": '{"n":"6","z":"q"}', "s": "one"}),
-        "h2": (51, {"value": "50", "class": "big", "ab": "2", "part": "h-h2!", "x": '{"n":"51","z":"q"}', "s": "two", "d": "dflt"}),
+        "h1": (6, {"value": "5", "class": "small", "ab": "1", "part": "h-h1!", "x": '{"n":6,"z":"q"}', "s": "one"}),
+        "h2": (51, {"value": "50", "class": "big", "ab": "2", "part": "h-h2!", "x": '{"n":51,"z":"q"}', "s": "two", "d": "dflt"}),
     }
     errors = {r.host: r.err for r in Program(TEXT).apply(events, errors_into="err").collect()}
     assert errors == {"h1": [], "h2": [], "h3": ["set total"]}
@@ -72,3 +72,27 @@ def test_syntax():
 def test_functions_in_programs(spark, text, want):
     ev = to_events(spark.range(1), stamp=F.timestamp_seconds(L(0)))
     assert Program(text).apply(ev).first().nv["r"] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('$x = format_json({"b": true, "n": 1, "s": "1", "z": null, "d": {"l": [1, "a"]}});', '{"b":true,"n":1,"s":"1","z":null,"d":{"l":[1,"a"]}}'), ('l = [1]; l[] = 2; $x = format_json(l);', "[1,2]"), ('l = [1, 2, 3]; l[-1] = "z"; $x = format_json(l);', '[1,2,"z"]'),
+        ('d = json("{\\"z\\":1.5,\\"a\\":[true,{}]}"); d.n = d.z; $x = format_json(d);', '{"z":1.5,"a":[true,{}],"n":1.5}'), ('$x = format_json(json_array("[1,\\"1\\",null]"));', '[1,"1",null]'), ('$x = format_json((1, "b"));', '[1,"b"]'),
+        ('$x = format_kv({"a": 1, "b": true});', "a=1, b=true"), ('$x = format_json(dict_to_pairs({"a": 1}, "k", "v"));', '[{"k":"a","v":1}]'), ('$x = format_json(unset_empties({"a": "", "b": [], "c": {}, "d": 0}));', '{"d":0}'), ('d = {"a": 5}; d.a == 5; $x = format_json({"t": d.a});', '{"t":5}'),
+        ('set_pri(165); $x = "${PRI}";', "165"), ('load_vars({"v": "w"}, "v"); $x = v;', "w"),
+    ],
+)
+def test_typed_members(events, text, want):
+    assert {r.nv["x"] for r in Program(text).apply(events).select("nv").collect()} == {want}
+
+
+def test_effects(events):
+    d = Program('update_metric("n", labels={"h": $HOST}, increment=2); set_pri(5);').apply(events, metrics_into="m")
+    assert all(r.pri == 5 and [(x["name"], x["labels"]["h"], x["value"]) for x in r.m] == [("n", r.host, 2)] for r in d.collect())
+    with pytest.raises(ValueError, match="metrics_into"):
+        Program('update_metric("n");').apply(events)
+    kept = Program("set_pri(5000);").apply(events, errors_into="e").select("e").collect()
+    assert all(r.e for r in kept)
+    with pytest.raises(NameError):
+        Program("no_such_function(1);").apply(events)

@@ -100,13 +100,18 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     return i, top_id[i, j], top[i, j].astype(np.int64), exact
 
 
+def _floored(x: Column) -> Column:
+    """A double's floor; from 2 ** 53 on every double is whole, where a cast to long would saturate."""
+    return F.when(F.abs(x) < float(2**53), F.floor(x).cast("double")).otherwise(x)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id long, rank int, vec_id long, score long: for the rows that ``is_query`` (over vec_id) names, the k best others by integer inner product of floor(scale * component)."""
     ship(vectors.sparkSession)
     d = fields(vectors, vec_id=id_col, embedding=vector_col)
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     d = d.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(~bad)
-    d = d.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("x"))
+    d = d.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: _floored(x.cast("double") * scale)).alias("x"))
     q = d.where(is_query)
     n, nq = d.count(), q.count()
     groups, blocks = max(1, -(-n // GROUP_ROWS)), max(1, -(-nq // QUERY_BLOCK))

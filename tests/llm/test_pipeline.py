@@ -11,7 +11,7 @@ import tiktoken
 import corpus_pipeline
 from millrace.llm import bpe
 from millrace.llm.bpe_query import vocabulary
-from tests.llm.data import corpus, docs, text
+from tests.llm.data import corpus, docs, empty, text
 from tests.llm.test_text_operators import WORD, linked
 
 
@@ -86,5 +86,17 @@ def test_pipeline_keeps_one_of_repeated_and_null_ids(spark, tmp_path):
     assert set(got) == {(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in left} and len(set(got.values())) == 1
 
 
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([(i, text(80 + i, 60), None, "s", 1, i, "c", 7, "k", 3.0, "g") for i in range(6)], kind + ", row long, component string, block long, set_key string, size double, kept string")
+    own = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        own = stage(spark, own, str(tmp_path))
+        assert own.columns == rows.columns
+    assert {r.doc_id for r in own.collect()} <= set(range(6)) and own.where("component <> 'c' OR block <> 7 OR set_key <> 'k' OR size <> 3.0 OR kept <> 'g' OR row <> doc_id").count() == 0
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "substring dedup", "mixing to target weights", "byte-level BPE"] and corpus_pipeline.ORACLE_SQL is None

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.templates import Scope, render
+from millrace.functions import strings as S
+from millrace.functions.templates import RowScope, Scope, condition, parts_of, render
 from millrace.functions.typed import int_div, merged
 from millrace.operators.filters import true
 from millrace.session import ship
@@ -50,12 +51,78 @@ def context_values(value: Column, order: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
+#: Template functions that aggregates over a group answer, and functions of text that may stand around them.
+FOLDED = frozenset({"sum", "average", "min", "max", "context-length", "context-values", "context-lookup", "grep"})
+AROUND = frozenset({"echo", "length", "strip", "lowercase", "uppercase", "or", "list-slice", "list-head", "list-tail", "list-nth", "list-count", "list-concat", "list-append", "+", "-", "*", "/", "%"})
+
+
+def folds(template: str) -> list[tuple[str, tuple[str, ...]]] | None:
+    """The calls of a template that aggregates answer; None where it needs the group's rows as a whole."""
+    found = []
+    for kind, name, args, *rest in (p if len(p) > 2 else (*p, None) for p in parts_of(template)):
+        if kind == "name" and rest[0]:
+            return None
+        if kind == "call" and name in FOLDED:
+            if any(x[0] == "call" or x[-1] is not None and x[0] == "name" for a in args[name in ("context-lookup", "grep") :] for x in parts_of(a)):
+                return None
+            found.append((name, tuple(args)))
+        elif kind == "call":
+            inner = [folds(a) for a in args]
+            if name not in AROUND or None in inner:
+                return None
+            found += [x for i in inner for x in i]
+    return found
+
+
+class _Folded:
+    """One call over a group: what is aggregated of the real rows, and its answer once the synthetic row is known."""
+
+    def __init__(self, call: tuple[str, tuple[str, ...]], at: str, by: Column, row: Column, outer: Scope) -> None:
+        self.name, self.args = call
+        self.at, self.outer, self.aggregates = at, outer, {}
+        own = RowScope(row, outer)
+        kept = lambda value, test=None: F.collect_list(F.struct(by.alias("by"), value.alias("v")) if test is None else F.when(test, F.struct(by.alias("by"), value.alias("v"))))
+        if self.name in ("context-lookup", "grep"):
+            made = [kept(self._joined(own), true(condition(self.args[0], own)))]
+        elif self.name == "context-values":
+            made = [kept(render(a, own)) for a in self.args]
+        elif self.name == "context-length":
+            made = [F.count(F.lit(1))]
+        else:
+            n = render(self.args[0], own).try_cast("bigint")
+            made = [F.min(n)] if self.name == "min" else [F.max(n)] if self.name == "max" else [F.sum(n), F.count(n)]
+        self.aggregates = {f"{at}_{i}": c for i, c in enumerate(made)}
+
+    def _joined(self, scope: Scope) -> Column:
+        return F.concat_ws(",", *[render(a, scope) for a in self.args[1:]])
+
+    def answer(self, synthetic: Column) -> Column:
+        got, own = [F.col(c) for c in self.aggregates], RowScope(synthetic, self.outer)
+        ordered = lambda c: F.transform(F.array_sort(c), lambda x: x["v"])
+        if self.name in ("context-lookup", "grep"):
+            last = F.when(true(condition(self.args[0], own)), F.array(self._joined(own))).otherwise(F.array().cast("array<string>"))
+            values = F.concat(ordered(got[0]), last)
+            return F.array_join(values, ",") if self.name == "grep" else S.list_text(values)
+        if self.name == "context-values":
+            return S.list_text(F.concat(*[x for c, a in zip(got, self.args) for x in (ordered(c), F.array(render(a, own)))]))
+        if self.name == "context-length":
+            return (got[0] + 1).cast("string")
+        n = render(self.args[0], own).try_cast("bigint")
+        if self.name in ("min", "max"):
+            return (F.least if self.name == "min" else F.greatest)(got[0], n).cast("string")
+        total, count = F.coalesce(got[0] + n, got[0], n), got[1] + n.isNotNull().cast("bigint")
+        return F.when(count > 0, total if self.name == "sum" else int_div(total, count)).cast("string")
+
+
 def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str, str], scope: str = "global", where: Column | None = None, having: Callable[[Scope], Column] | None = None, sort_key: str | None = None, inherit: str = "none", inject: str = "aggregate-only", tags: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Sessions of events, one synthetic event each, whose values are templates over the group.
 
     While values render, the synthetic row itself stands last in the group, as the template functions expect; ``having`` sees
     the real rows alone. ``inherit`` takes the fields of no row, the last row, or all rows with later ones winning; ``inject``
     "pass-through" gives the source rows as well.
+
+    Numbers, counts and value lists (:data:`FOLDED`) are aggregates: of a row only what they read is shuffled, and a session of
+    any length costs what its values hold. Other templates, ``having``, ``sort_key`` and the fields of all rows collect the rows.
     """
     if not key or not aggregate:
         raise ValueError("a key and an aggregate are asked for")
@@ -66,6 +133,9 @@ def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str
     row = F.struct(F.col("stamp").alias("__o"), *[F.col(f"`{c}`") for c in fields])
     # maps don't order, so rows are sorted by time, then process and text, beside them
     by = F.struct(F.col("stamp"), F.length("pid").alias("n"), F.col("pid"), F.col("message"))
+    calls = [folds(t) for t in aggregate.values()]
+    if having is None and sort_key is None and inherit != "context" and None not in calls:
+        return _folded_groups(df, d, key, own, timeout, aggregate, {x: None for c in calls for x in c}, by, inherit, inject, tags, prefix)
     group = d.withColumns({"__second": second, "__key": F.struct(*key)}).withColumn("__row", F.struct(by.alias("by"), row.alias("row")))
     g = group.groupBy(F.session_window("__second", f"{timeout} seconds").alias("__w"), "__key", *own).agg(F.collect_list("__row").alias("__rows"))
     ordered = F.array_sort("__rows", lambda a, b: F.when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0))
@@ -73,8 +143,6 @@ def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str
     rows = F.col("__rows")
     if sort_key is not None:
         s = Scope(frozenset(fields))
-        from millrace.functions.templates import RowScope
-
         keyed = F.transform(rows, lambda r: F.struct(render(sort_key, RowScope(r, s)).alias("__k"), r.alias("__r")))
         rows = F.transform(F.array_sort(keyed, lambda a, b: F.when(a["__k"] < b["__k"], -1).when(a["__k"] > b["__k"], 1).otherwise(0)), lambda x: x["__r"])
     g = g.withColumn("__rows", rows)
@@ -89,13 +157,37 @@ def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str
         synthetic = F.struct(last["__o"].alias("__o"), *[(F.col("__nv") if c == "nv" else last[c] if c in ("stamp", *own) or inherit != "none" else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in fields])
         seen = F.concat("__rows", F.array(synthetic))
         base = base.withColumn("__nv", merged(F.col("__nv"), F.create_map(F.lit(prefix + name), F.coalesce(render(template, Scope(frozenset(fields), {}, seen)), F.lit("")))))
+    return _synthetic(df, base, lambda c: last[c], own, inherit, inject, tags, prefix)
+
+
+def _folded_groups(df: DataFrame, d: DataFrame, key: list[str], own: list[str], timeout: int, aggregate: dict[str, str], calls: dict, by: Column, inherit: str, inject: str, tags: tuple[str, ...], prefix: str) -> DataFrame:
+    """:func:`grouping_by` where every value is made of aggregates."""
+    fields = frozenset(df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    folded = {call: _Folded(call, f"__a{i}", by, row, Scope(fields)) for i, call in enumerate(calls)}
+    last = F.col("__last")
+    kept = F.max_by(row, by) if inherit == "last-message" else F.struct(F.max("stamp").alias("stamp"))
+    group = d.withColumns({"__second": F.date_trunc("second", F.col("stamp")), "__key": F.struct(*key)}).groupBy(F.session_window("__second", f"{timeout} seconds").alias("__w"), "__key", *own)
+    base = group.agg(kept.alias("__last"), *[c.alias(n) for f in folded.values() for n, c in f.aggregates.items()])
+    of_last = lambda c: F.col(f"`{c}`") if c in own else last[c] if c == "stamp" or inherit != "none" else F.lit(None)
+    base = base.withColumn("__nv", last["nv"] if inherit == "last-message" else F.create_map().cast("map<string,string>"))
+    for name, template in aggregate.items():
+        synthetic = F.struct(*[(F.col("__nv") if f.name == "nv" else of_last(f.name).cast(f.dataType)).alias(f.name) for f in df.schema])
+        functions = {n: (lambda _, *args, n=n, synthetic=synthetic: folded[n, args].answer(synthetic)) for n in FOLDED}
+        text = F.coalesce(render(template, Scope(fields, {}, F.array(synthetic), functions)), F.lit(""))
+        base = base.withColumn("__value", text).withColumn("__nv", merged(F.col("__nv"), F.create_map(F.lit(prefix + name), F.col("__value"))))
+    return _synthetic(df, base, of_last, own, inherit, inject, tags, prefix)
+
+
+def _synthetic(df: DataFrame, base: DataFrame, of_last: Callable[[str], Column], own: list[str], inherit: str, inject: str, tags: tuple[str, ...], prefix: str) -> DataFrame:
+    """The groups' synthetic events, beside the source rows if asked for; ``of_last`` gives a field of the group's last row."""
     made = []
     for f in df.schema:
         c = f.name
-        value = F.col("__nv") if c == "nv" else F.array(*map(F.lit, tags)).cast(f.dataType) if c == "tags" and tags else last[c] if c in ("stamp", *own) or inherit != "none" else F.lit(None)
+        value = F.col("__nv") if c == "nv" else F.array(*map(F.lit, tags)).cast(f.dataType) if c == "tags" and tags else of_last(c) if c in ("stamp", *own) or inherit != "none" else F.lit(None)
         if c in ("host", "program", "pid", "message") and c not in own:
             set_ = F.col("__nv")[prefix + c.upper()]
-            value = F.coalesce(set_, last[c] if inherit != "none" else F.lit(None))
+            value = F.coalesce(set_, of_last(c) if inherit != "none" else F.lit(None))
         made.append(value.cast(f.dataType).alias(c))
     out = base.select(*made)
     return out if inject == "aggregate-only" else df.unionByName(out)

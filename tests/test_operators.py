@@ -49,6 +49,30 @@ def test_grouping_inherit_and_inject(spark):
     assert correlate.grouping_by(d, ["source"], 60, {"n": "$(context-length)"}, inject="pass-through").count() == 4
 
 
+def test_grouping_by_aggregates(spark):
+    d = spark.createDataFrame([("a", "p", "5", "first", at(0)), ("a", "q", "x", "second", at(10)), ("a", "p", None, "third, last", at(10)), ("a", "p", "-7", "late", at(100))], "host string, program string, pid string, message string, stamp timestamp")
+    d = to_events(d, (), host=F.col("host"), program=F.col("program"), pid=F.col("pid"), message=F.col("message"), stamp=F.col("stamp"), source=F.lit("s"), nv=F.create_map(F.lit("x"), F.col("pid")))
+    values = {"total": "$(sum $PID)", "mean": "$(average $PID)", "low": "$(min $PID)", "top": "$(max $PID)", "n": "$(context-length)", "all": "$(context-values $MSG)", "found": '$(context-lookup ("$PROGRAM" eq "p") $MSG)', "own": '$(grep ("$HOST" eq "a") $HOST $PID)', "again": "<$total> $(+ $(context-length) 1)"}
+    for inherit in ("none", "last-message"):
+        g = correlate.grouping_by(d, ["source"], 60, values, scope="host", inherit=inherit)
+        whole = correlate.grouping_by(d, ["source"], 60, values, scope="host", inherit=inherit, having=lambda s: F.size(s.rows) > 0)
+        both = lambda x: sorted((r.stamp, r.host, r.program, r.message, sorted(r.nv.items())) for r in x.collect())
+        assert both(g) == both(whole)
+        plan = g._jdf.queryExecution().optimizedPlan().toString()
+        assert "__rows" not in plan and "sum(" in plan  # no row of a group is kept whole
+    assert correlate.folds("${x}@1") is None and correlate.folds("$(format-json)") is None
+
+
+def test_merged_makes_the_second_once(spark):
+    from millrace.functions.typed import merged
+
+    d = spark.range(1).select(F.map_from_arrays(F.sequence(F.lit(0), F.lit(9)).cast("array<string>"), F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("a"))
+    r = d.select(F.map_entries(merged(F.col("a"), F.create_map(F.lit("3"), F.lit("new")))).alias("m")).first().m
+    assert len(r) == 10 and tuple(r[-1]) == ("3", "new")
+    plan = d.select(merged(F.col("a"), F.create_map(F.lit("3"), F.upper(F.lit("x")))).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(x)") == 1
+
+
 def test_triggered_groups(spark):
     d = spark.createDataFrame([("a", i, at(i)) for i in range(7)] + [("a", 7, at(100))], "k string, i long, t timestamp")
     made = lambda g: {"k": g[0]["k"], "ids": [r["i"] for r in g]}

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import strings as S
 from millrace.functions.templates import RowScope, Scope, condition, parts_of, render
-from millrace.functions.typed import int_div, merged
+from millrace.functions.typed import int_div, merged, with_member
 from millrace.operators.filters import true
 from millrace.session import ship
 
@@ -156,7 +156,7 @@ def grouping_by(df: DataFrame, key: list[str], timeout: int, aggregate: dict[str
         # values are set one by one: a later one sees those before
         synthetic = F.struct(last["__o"].alias("__o"), *[(F.col("__nv") if c == "nv" else last[c] if c in ("stamp", *own) or inherit != "none" else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in fields])
         seen = F.concat("__rows", F.array(synthetic))
-        base = base.withColumn("__nv", merged(F.col("__nv"), F.create_map(F.lit(prefix + name), F.coalesce(render(template, Scope(frozenset(fields), {}, seen)), F.lit("")))))
+        base = base.withColumn("__nv", with_member(F.col("__nv"), F.lit(prefix + name), F.coalesce(render(template, Scope(frozenset(fields), {}, seen)), F.lit(""))))
     return _synthetic(df, base, lambda c: last[c], own, inherit, inject, tags, prefix)
 
 
@@ -175,7 +175,7 @@ def _folded_groups(df: DataFrame, d: DataFrame, key: list[str], own: list[str],
         synthetic = F.struct(*[(F.col("__nv") if f.name == "nv" else of_last(f.name).cast(f.dataType)).alias(f.name) for f in df.schema])
         functions = {n: (lambda _, *args, n=n, synthetic=synthetic: folded[n, args].answer(synthetic)) for n in FOLDED}
         text = F.coalesce(render(template, Scope(fields, {}, F.array(synthetic), functions)), F.lit(""))
-        base = base.withColumn("__value", text).withColumn("__nv", merged(F.col("__nv"), F.create_map(F.lit(prefix + name), F.col("__value"))))
+        base = base.withColumn("__value", text).withColumn("__nv", with_member(F.col("__nv"), F.lit(prefix + name), F.col("__value")))
     return _synthetic(df, base, of_last, own, inherit, inject, tags, prefix)
 
 

@@ -9,7 +9,7 @@ from millrace.functions import dates
 from millrace.functions import text_formats as T
 from millrace.functions.strings import java_regex, named_groups, text_list
 from millrace.functions.templates import Scope, render
-from millrace.functions.typed import merged
+from millrace.functions.typed import merged, merged_once
 
 
 
@@ -23,7 +23,7 @@ def _apply(df: DataFrame, pairs: Column, drop: bool) -> DataFrame:
     if drop:
         d = d.where(F.col("__parsed").isNotNull())
     none = F.create_map().cast("map<string,string>")
-    return d.withColumn("nv", merged(F.col("nv"), F.coalesce("__parsed", none))).drop("__parsed")
+    return d.withColumn("nv", merged_once(F.col("nv"), F.coalesce("__parsed", none))).drop("__parsed")
 
 
 def csv_parser(df: DataFrame, columns: list[str], delimiters: str = ",", quotes: str = '"', dialect: str = "escape-double-char", strings: tuple[str, ...] = (), quote_pairs: tuple[str, ...] = (), prefix: str = "", strip: bool = False, greedy: bool = False, null: str | None = None, template: str | None = None, drop_invalid: bool = False) -> DataFrame:

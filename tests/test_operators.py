@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,13 +65,43 @@ def test_grouping_by_aggregates(spark):
 
 
 def test_merged_makes_the_second_once(spark):
-    from millrace.functions.typed import merged
+    from millrace.functions.typed import merged_once, with_member
 
     d = spark.range(1).select(F.map_from_arrays(F.sequence(F.lit(0), F.lit(9)).cast("array<string>"), F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("a"))
-    r = d.select(F.map_entries(merged(F.col("a"), F.create_map(F.lit("3"), F.lit("new")))).alias("m")).first().m
-    assert len(r) == 10 and tuple(r[-1]) == ("3", "new")
-    plan = d.select(merged(F.col("a"), F.create_map(F.lit("3"), F.upper(F.lit("x")))).alias("m"))._jdf.queryExecution().analyzed().toString()
-    assert plan.count("upper(x)") == 1
+    for made in (merged_once(F.col("a"), F.create_map(F.lit("3"), F.upper(F.lit("x")))), with_member(F.col("a"), F.lit("3"), F.upper(F.lit("x")))):
+        m = d.select(F.map_entries(made).alias("m"))
+        assert len(m.first().m) == 10 and tuple(m.first().m[-1]) == ("3", "X")
+        assert m._jdf.queryExecution().analyzed().toString().count("upper(x)") == 1
+
+
+def test_csv_record_is_cut_once(spark):
+    from millrace.functions import text_formats as X
+
+    d = spark.createDataFrame([("a, b,c,d",), ("x",), (None,)], "s string")
+    got = d.select(X.parse_csv(F.col("s"), ["p", "q", "r"]).alias("m"), X.parse_csv(F.col("s"), ["p", "q", "r"], greedy=True, strip=True).alias("g"))
+    assert [r.m for r in got.collect()] == [{"p": "a", "q": "b", "r": "c"}, {"p": "x"}, {}] and got.first().g == {"p": "a", "q": "b", "r": "c,d"}
+    plan = d.select(X.parse_csv(F.col("s"), ["p", "q", "r"]).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_lookup_asks_once_a_value(spark):
+    from millrace.operators import enrich
+
+    d = spark.createDataFrame([(i, ("0", "987654321", None, "", "x")[i % 5]) for i in range(50)], "i int, v string").coalesce(1)
+    got = {r.v: r.o for r in d.select("v", enrich.lookup("passwd", F.col("v")).alias("o")).collect()}
+    assert got == {"0": "root", "987654321": None, None: None, "": None, "x": None}
+
+    asked = []
+    out = list(enrich.remembered(lambda v: asked.append(v) or v + "!", iter([pd.Series(["a", "b", None, "a"]), pd.Series(["b", "c"]), pd.Series([], dtype="object")])))
+    assert asked == ["a", "b", "c"] and [list(x) for x in out] == [["a!", "b!", None, "a!"], ["b!", "c!"], []]
+
+
+def test_few_splits_are_spread(spark, tmp_path):
+    from millrace.plans.queries import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    d = spread(spark.read.parquet(str(tmp_path / "t")))
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.count() == 100
 
 
 def test_triggered_groups(spark):

@@ -307,21 +307,75 @@ TRACES: dict[str, list[tuple[str, str | None]]] = {
 }
 
 
-def smart_records(lines: Iterator[str]) -> Iterator[bool]:
-    """Whether each line begins a record: stack traces go on by :data:`TRACES`, any other line stands alone."""
+def trace_steps() -> Callable[[str, str], tuple[bool, str]]:
+    """A function of a state and a line: whether the line begins a record, and the state that follows."""
     import re
 
     rules = {state: [(re.compile(rx), to) for rx, to in steps] for state, steps in TRACES.items()}
-    state: str | None = ""
-    for line in lines:
+
+    def one(state: str, line: str) -> tuple[bool, str]:
         step = next((to for rx, to in rules[state] if rx.search(line)), "no") if state else "no"
         begins = step == "no"
         if begins:
             step = next((to for rx, to in rules[""] if rx.search(line)), "")
-        state = step or ""
+        return begins, step or ""
+
+    return one
+
+
+def smart_records(lines: Iterator[str]) -> Iterator[bool]:
+    """Whether each line begins a record: stack traces go on by :data:`TRACES`, any other line stands alone."""
+    step, state = trace_steps(), ""
+    for line in lines:
+        begins, state = step(state, line)
         yield begins
 
 
+def smart_begins(df: DataFrame, key: list[str], order: list[str], line: str) -> DataFrame:
+    """``df`` with ``__smart``: :func:`smart_records` over each key's lines in order.
+
+    Batches pass as columns. What follows from a state by a text is found once for each text of a batch, so a row costs one
+    step of a table; the state at a batch's end goes on in the next.
+    """
+    ship(df.sparkSession)
+    target = T.StructType([*df.schema, T.StructField("__smart", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        step = trace_steps()
+        kind, state, before = to_arrow_schema(target), "", None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = np.zeros(b.num_rows, dtype=bool)
+            own = {k: b.column(k) for k in key}
+            for c in own.values():
+                here, last = c.slice(1), c.slice(0, len(c) - 1)
+                other = pc.or_kleene(pc.fill_null(pc.not_equal(here, last), False), pc.xor(pc.is_null(here), pc.is_null(last)))
+                first[1:] |= other.to_numpy(zero_copy_only=False)
+            now = [c[0].as_py() for c in own.values()]
+            first[0] = before is not None and now != before
+            before = [c[len(c) - 1].as_py() for c in own.values()]
+            coded = pc.fill_null(b.column(line), "").dictionary_encode()
+            texts, known, begins = coded.dictionary.to_pylist(), {}, []
+            for i, new in zip(coded.indices.to_pylist(), first.tolist()):
+                if new:
+                    state = ""
+                at = (state, i)
+                found = known.get(at)
+                if found is None:
+                    found = known[at] = step(state, texts[i])
+                begin, state = found
+                begins.append(begin)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(begins, pa.bool_())], schema=kind)
+
+    d = df.repartition(*[F.col(f"`{k}`") for k in key]) if key else df.coalesce(1)
+    return d.sortWithinPartitions(*key, *order).mapInArrow(run, target)
+
+
 def group_lines(df: DataFrame, key: list[str], order: list[str], mode: str = "indented", prefix: str | None = None, suffix: str | None = None, line: str = "line", separator: str = "\n", timeout: int | None = None, ts: str | None = None) -> DataFrame:
     """Physical lines to records: key, first order value, n_lines, message.
 
@@ -339,16 +393,7 @@ def group_lines(df: DataFrame, key: list[str], order: list[str], mode: str = "in
     elif mode == "prefix-suffix":
         begins = c.rlike(prefix) | F.coalesce(before.rlike(suffix), F.lit(False))
     elif mode == "smart":
-        own = T.StructType([*df.schema, T.StructField("__smart", T.BooleanType())])
-
-        def fold(rows: Iterator[dict]) -> Iterator[dict]:
-            from itertools import tee
-
-            mine, text = tee(rows)
-            for r, new in zip(mine, smart_records(x[line] or "" for x in text)):
-                yield r | {"__smart": new}
-
-        df, begins = ordered_fold(df, key, order, own, fold), F.col("__smart")
+        df, begins = smart_begins(df, key, order, line), F.col("__smart")
     else:
         begins = F.lit(True)
     if timeout is not None:

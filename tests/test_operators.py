@@ -104,6 +104,24 @@ def test_few_splits_are_spread(spark, tmp_path):
     assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.count() == 100
 
 
+def test_smart_lines_pass_as_columns(spark, monkeypatch):
+    lines = ["start", "Traceback (most recent call last):", '  File "a.py", line 1, in f', None, "    g()", "ValueError: bad", "java.lang.Error: gone", "\tat a.B.c(B.java:1)", "end", ""]
+    rnd = random.Random(5)
+    rows = [(k, i, rnd.choice(lines)) for k in ("a", "b", None, "c") for i in range(60)]
+    d = spark.createDataFrame(rows, "k string, i int, line string")
+    want = {}
+    for k in ("a", "b", None, "c"):
+        own = [t or "" for k_, _, t in rows if k_ == k]
+        want |= {(k, i): begins for i, begins in enumerate(correlate.smart_records(own))}
+    monkeypatch.setattr(correlate, "ordered_fold", None)  # no row becomes a dict
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.k, r.i): r["__smart"] for r in correlate.smart_begins(d, ["k"], ["i"], "line").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_triggered_groups(spark):
     d = spark.createDataFrame([("a", i, at(i)) for i in range(7)] + [("a", 7, at(100))], "k string, i long, t timestamp")
     made = lambda g: {"k": g[0]["k"], "ids": [r["i"] for r in g]}

@@ -10,6 +10,7 @@ from millrace.functions import text_formats as T
 from millrace.functions.strings import java_regex, named_groups, text_list
 from millrace.functions.templates import Scope, render
 from millrace.functions.typed import merged, merged_once
+from millrace.session import bound_batches
 
 
 
@@ -74,10 +75,12 @@ def json_parser(df: DataFrame, prefix: str = "", marker: str | None = None, extr
 
 
 def xml_parser(df: DataFrame, prefix: str = ".xml.", exclude: tuple[str, ...] = (), strip: bool = False, lists: bool = True, template: str | None = None, drop_invalid: bool = False) -> DataFrame:
+    bound_batches(df.sparkSession)
     return _apply(df, T.parse_xml(_text(df, template), prefix, lists=lists, strip=strip, exclude=exclude), drop_invalid)
 
 
 def windows_eventlog_xml_parser(df: DataFrame, prefix: str = ".eventlog.", template: str | None = None, drop_invalid: bool = False) -> DataFrame:
+    bound_batches(df.sparkSession)
     m = T.parse_windows_eventlog_xml(_text(df, template))
     return _apply(df, F.transform_keys(m, lambda k, _: F.concat(F.lit(prefix), k)), drop_invalid)
 

@@ -122,6 +122,25 @@ def test_smart_lines_pass_as_columns(spark, monkeypatch):
     assert got == want
 
 
+def test_xml_batches_are_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def rows(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    at = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(at)
+    d = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("<a>"), F.repeat(F.lit("x"), 10_000), F.lit("</a>")).alias("message"), F.create_map().cast("map<string,string>").alias("nv"))
+    p = parsers.xml_parser(d, ".x.")
+    try:
+        assert p.where(F.length(F.col("nv")[".x.a"]) == 10_000).count() == 3000
+        assert d.select(rows("message").alias("n")).agg(F.max("n")).first()[0] * 10_000 < 10e6  # 30 MB would pass as one batch
+        spark.conf.set(at, str(1 << 20))  # what the session asks for stays
+        parsers.xml_parser(d, ".x.")
+        assert spark.conf.get(at).startswith(str(1 << 20))
+    finally:
+        spark.conf.unset(at)
+
+
 def test_triggered_groups(spark):
     d = spark.createDataFrame([("a", i, at(i)) for i in range(7)] + [("a", 7, at(100))], "k string, i long, t timestamp")
     made = lambda g: {"k": g[0]["k"], "ids": [r["i"] for r in g]}
